@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +73,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = C
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64) + 64
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64) + 64
         part = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -107,7 +108,7 @@ def chunks(docs: DataFrame, limit: int = CHUNK_BYTES, extra: tuple[str, ...] = (
 
         for piece in small_batches(batches, "text", limit // 4):
             held.append(piece)
-            size += int(pa.compute.sum(pa.compute.binary_length(piece.column(1))).as_py() or 0)
+            size += int(pc.sum(pc.binary_length(piece.column(1))).as_py() or 0)
             if size >= limit:
                 yield out()
                 n, held, size = n + 1, [], 0
