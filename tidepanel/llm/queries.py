@@ -53,12 +53,21 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir), min_words=35)
 
 
+def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode
+
+    return encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), outputs=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_rank_profiles": op2_rank_profiles,
     "op3_kd_shards": op3_kd_shards,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_lexicon_bpe": op8_lexicon_bpe,
 }
 
 ORACLES: dict[str, str] = {
