@@ -53,6 +53,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir), min_words=35)
 
 
+def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import repeated_spans
+
+    return repeated_spans(_documents(spark, sf_dir), min_words=50)
+
+
 def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kd_shards": op3_kd_shards,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sparse_suffixes": op7_sparse_suffixes,
     "op8_lexicon_bpe": op8_lexicon_bpe,
 }
 

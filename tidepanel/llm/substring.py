@@ -36,7 +36,7 @@ def _levels(k: int, shortest: int) -> list[int]:
     return out
 
 
-def _key_rows(h: np.ndarray, chunk: int, buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
+def key_rows(h: np.ndarray, chunk: int, buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
     u, n = np.unique(h, return_counts=True)
     cut, twice = C.bucket_bounds(u, buckets), n > 1
     rows = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b + 1] > cut[b]]
@@ -51,7 +51,7 @@ def _key_rows(h: np.ndarray, chunk: int, buckets: int, wide: bool) -> Iterator[p
 
 
 def repeated_keys(keys: DataFrame, buckets: int, tasks: int, wide: bool) -> DataFrame:
-    """For each (chunk, bucket) row of keys, a bit for each key: does it occur in another chunk, or twice in this one?"""
+    """For each (chunk, bucket) row of keys, a bit for each key: does it occur in another chunk, or twice in this one?  Then, from the next whole byte on, another: is this the first chunk that has it?"""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in C.groups(batches, "bucket"):
@@ -62,10 +62,13 @@ def repeated_keys(keys: DataFrame, buckets: int, tasks: int, wide: bool) -> Data
             same = np.diff(h[order]) == 0
             bits[order[1:][same]] = True
             bits[order[:-1][same]] = True
+            first = np.ones(len(h), dtype=bool)
+            first[order[1:][same]] = False
             at = np.cumsum(sizes) - sizes
-            yield C.record(BITS, chunk=[r["chunk"] for r in rows], bucket=[bucket] * len(rows), n=sizes.tolist(), bits=[np.packbits(bits[a : a + n]).tobytes() for a, n in zip(at, sizes)])
+            packed = [np.packbits(bits[a : a + n]).tobytes() + np.packbits(first[a : a + n]).tobytes() for a, n in zip(at, sizes)]
+            yield C.record(BITS, chunk=[r["chunk"] for r in rows], bucket=[bucket] * len(rows), n=sizes.tolist(), bits=packed)
 
-    return C.by_bucket(keys, tasks, "bucket").mapInArrow(find, BITS)
+    return C.by_bucket(keys, tasks, "bucket", "chunk").mapInArrow(find, BITS)
 
 
 def with_answers(chunk_table: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
@@ -75,12 +78,12 @@ def with_answers(chunk_table: DataFrame, answers: DataFrame, tasks: int) -> Data
     return C.by_bucket(a.unionByName(b), tasks, "chunk", "bucket")
 
 
-def _marked(h: np.ndarray, rows: list[dict]) -> np.ndarray:
+def marked(h: np.ndarray, rows: list[dict], first: bool = False) -> np.ndarray:
     """Which entries of h have their bit set in the rows of answers, which are in the order of the distinct sorted keys."""
     if not len(h):
         return np.zeros(0, dtype=bool)
     _, back = np.unique(h, return_inverse=True)
-    bits = np.concatenate([np.unpackbits(np.frombuffer(r["data"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
+    bits = np.concatenate([np.unpackbits(np.frombuffer(r["data"], np.uint8, offset=-(-r["n"] // 8) if first else 0), count=r["n"]) for r in rows]).astype(bool)
     return bits[back]
 
 
@@ -109,14 +112,14 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, shortest: int = 18, ke
         for batch in batches:
             for row in batch.to_pylist():
                 win = C.Windows(C.words(C.encoded(C.from_body(row["body"]).column("text").chunk(0))))
-                yield from _key_rows(win.hash(win.starts(levels[0]), levels[0]), row["chunk"], buckets, levels[0] == min_words)
+                yield from key_rows(win.hash(win.starts(levels[0]), levels[0]), row["chunk"], buckets, levels[0] == min_words)
 
     def next_keys(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk, rows in C.groups(batches, "chunk"):
                 win = C.Windows(C.words(C.encoded(C.from_body(rows[0]["data"]).column("text").chunk(0))))
                 p = _survivors(win, rows[1:], levels[: level + 1])
-                yield from _key_rows(win.hash(p, levels[level]), chunk, buckets, levels[level] == min_words)
+                yield from key_rows(win.hash(p, levels[level]), chunk, buckets, levels[level] == min_words)
 
         return run
 
@@ -163,7 +166,7 @@ def _survivors(win: C.Windows, rows: list[dict], levels: list[int]) -> np.ndarra
             own.append(rows[at])
             n += rows[at]["n"]
             at += 1
-        p = p[_marked(h, own)]
+        p = p[marked(h, own)]
         if longer > k:
             hit = np.zeros(win.n + longer, dtype=bool)
             hit[p] = True
