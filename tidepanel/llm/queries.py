@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import MIXTURE_SQL
+from .topk import TOPK_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,13 @@ def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), outputs=False)
 
 
+def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_topk
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_topk(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_rank_profiles": op2_rank_profiles,
@@ -75,9 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sparse_suffixes": op7_sparse_suffixes,
     "op8_lexicon_bpe": op8_lexicon_bpe,
+    "op10_kd_topk": op10_kd_topk,
 }
 
 ORACLES: dict[str, str] = {
+    "op10_kd_topk": TOPK_SQL,
     "op5_curriculum_mix": f"""
 SELECT doc_id, size, source_size, target, taken,
        CASE WHEN target <= 0 THEN 0.0 WHEN ramp = 0 THEN least(1.0, before / target)
