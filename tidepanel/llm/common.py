@@ -108,7 +108,7 @@ def chunks(docs: DataFrame, limit: int = CHUNK_BYTES, extra: tuple[str, ...] = (
 
         for piece in small_batches(batches, "text", limit // 4):
             held.append(piece)
-            size += int(pc.sum(pc.binary_length(piece.column(1))).as_py() or 0)
+            size += int(pc.sum(pc.binary_length(piece.column(1))).as_py() or 0) + 64 * piece.num_rows
             if size >= limit:
                 yield out()
                 n, held, size = n + 1, [], 0

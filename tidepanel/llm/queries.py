@@ -41,6 +41,12 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_documents(spark, sf_dir), n_shards=24)
 
 
+def op4_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixture, position
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_rank_profiles": op2_rank_profiles,
     "op3_kd_shards": op3_kd_shards,
+    "op4_partition_jaccard": op4_partition_jaccard,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sparse_suffixes": op7_sparse_suffixes,
