@@ -74,6 +74,13 @@ def op8_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), outputs=False)
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import score
+    from .langid import held_out
+
+    return score(_documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2))
+
+
 def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_topk
 
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sparse_suffixes": op7_sparse_suffixes,
     "op8_lexicon_bpe": op8_lexicon_bpe,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_kd_topk": op10_kd_topk,
 }
 
