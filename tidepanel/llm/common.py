@@ -50,6 +50,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Hold the session's Arrow batches to `size` bytes, so that a Python worker and its buffers stay small whatever the rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().getConfString(key, "64m") != str(size):
+        spark.conf.set(key, str(size))
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of finished plans."""
     gc.collect()
@@ -95,6 +102,8 @@ def from_body(body: bytes) -> pa.Table:
 def chunks(docs: DataFrame, limit: int = CHUNK_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
     """The chunk table of docs (doc_id, text and the extra columns), written once to the scratch folder."""
 
+    bound_batches(docs.sparkSession)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

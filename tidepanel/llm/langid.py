@@ -112,6 +112,7 @@ def train(docs: DataFrame, size: int = 400) -> Profiles:
         for lang in list(held):
             yield out(lang)
 
+    C.bound_batches(docs.sparkSession)
     known = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = C.materialise(known.mapInArrow(count, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(r.lang for r in counts.groupBy("lang").agg(F.lit(1)).collect())

@@ -134,6 +134,7 @@ def fit_chain(chains: list[np.ndarray], labels: list[int], steps: int = 150, rat
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> ChainModel:
     """Fit on at most `sample` labelled documents, the first in the order of crc32(doc_id); a label is `quality` 0 or 1."""
+    C.bound_batches(docs.sparkSession)
     order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     chosen = C.with_columns_first(labels, ["doc_id", "quality"]).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(sample)
 

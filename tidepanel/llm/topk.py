@@ -154,6 +154,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows:
     rows are candidates of their own.  Products are summed in float64, exact below 2**53.
     """
     spark = vectors.sparkSession
+    C.bound_batches(spark)
     pick = lambda df: df.select(F.col("`vec_id`").cast("long").alias("vec_id"), F.col("`embedding`").alias("embedding")).where("vec_id is not null and embedding is not null")
     shards = C.materialise(_blobs(pick(vectors).repartition(max(1, spark.sparkContext.defaultParallelism)), 0, shard_rows), "shards")
     blocks = C.materialise(_blobs(pick(queries), 1, BLOCK_ROWS), "queries")
