@@ -11,10 +11,12 @@ those of least cost (keys, and candidates expected from segments that hold commo
 schemes of mode 1 get spare segments, so that a link agrees on many of them.
 
 Pass 1 finds the keys that occur in more than one place, on compact rows, one bit back for each key.
-Sets that have too few such keys for any link drop out.  Pass 2 brings the others together by key.
+Sets that have too few such keys for any link drop out; so do sets that share fewer than p / q of their
+shingles with all other sets together.  Pass 2 brings the rest together by key.
 Groups of up to SMALL sets give all pairs, larger ones a chain; pairs are verified on their shingles and
-linked into components.  Larger groups that are then not in one component are finished by blocks: the
-components that share keys are compared in pairs of blocks of their sets, without emitting pairs.
+linked into components.  What is left are larger groups that are not in one component: each set
+allocates the looks it still owes to the groups with the fewest components, and components that meet
+there are compared in blocks of sets, without emitting pairs.
 Sets that are equal (copies) are one set throughout.
 """
 
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 from .components import components
@@ -37,6 +40,7 @@ BLOCK = 256
 COMMON_SHARE, CANDIDATE_COST, SPARE = 0.2, 100.0, 0.25
 FOUND = "kind int, a long, b long, n long, body binary"
 PAIRS = "kind int, a long, b long"
+NEEDS = "set_id long, need long, own long, band long"
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,7 +68,7 @@ def scheme(top: int, p: int, q: int) -> Scheme:
 
 
 class Sets:
-    """The distinct shingle sets of some texts, and their keys in all schemes."""
+    """The shingle sets of some texts, and the keys of the distinct ones."""
 
     def __init__(self, texts: list[bytes], n: int, p: int, q: int):
         w = C.words(texts, lower=True)
@@ -91,13 +95,16 @@ class Sets:
         number = np.full(len(texts), -1, dtype=np.int64)
         number[rep] = np.arange(len(rep))
         mine = number[doc] >= 0
-        self.h, self.of = h[mine], number[doc[mine]]
-        self.sizes, self.ids = size[rep], self.id[rep]
-        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
-        self._keys(p, q)
+        self.keys = Keys(h[mine], size[rep], self.id[rep], p, q)
 
-    def _keys(self, p: int, q: int) -> None:
-        b = self.sizes
+
+class Keys:
+    """The keys of distinct sets in all their schemes: h has the shingles of one set after the other."""
+
+    def __init__(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray, p: int, q: int):
+        self.h, self.sizes, self.ids = h, sizes, ids
+        self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        b = sizes
         top = np.left_shift(1, np.ceil(np.log2(np.maximum(b, 1))).astype(np.int64))
         up = np.flatnonzero(b * q >= p * (top + 1))
         vset = np.concatenate((np.arange(len(b)), up))
@@ -131,6 +138,10 @@ class Sets:
         self.key = np.concatenate((C.mix(total[use] + tag[use]), C.mix(total[flat[two]] - val[two] + tag[flat[two]])))
         self.key_owner = np.concatenate((owner[use], v[two]))
         self.key_set = vset[self.key_owner]
+        self.key_own = self.key_owner < len(b)
+        #: how many own keys a set has to look at to meet every linked set that isn't larger: all where modes differ
+        self.need = np.where(twos[: len(b)] > 0, np.int64(1) << 40, (q - p) * 2 * b // (q + p) + 1)
+        self.n_own = np.bincount(self.key_owner, minlength=len(vset))[: len(b)]
         #: a set drops out of a scheme with fewer shared keys than this
         self.least = np.where((twos > 0) | (spare == 0), 1, np.maximum(1, m - most - np.where(weak, 0, empty)))
 
@@ -188,35 +199,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from key_rows(sets_of(row["body"]).distinct_keys(), row["chunk"], buckets, False)
+                yield from key_rows(sets_of(row["body"]).keys.distinct_keys(), row["chunk"], buckets, False)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in C.groups(batches, "chunk"):
+        for _, rows in C.groups(batches, "chunk"):
             body = C.from_body(rows[0]["data"])
             s = Sets(C.encoded(body.column("text").chunk(0)), n, p, q)
-            k = len(s.id)
+            k, x = len(s.id), s.keys
             yield C.record(FOUND, kind=[1] * k, a=body.column("doc_id").to_pylist(), b=s.id.tolist(), n=s.size.tolist(), body=[None] * k)
-            if not len(s.key):
-                continue
-            shared = marked(s.key, rows[1:])
-            enough = np.bincount(s.key_owner[shared], minlength=len(s.least)) >= s.least
-            use = shared & enough[s.key_owner]
-            key, sid, size = s.key[use], s.ids[s.key_set[use]], s.sizes[s.key_set[use]]
-            order = np.lexsort((sid, key))
-            key, sid, size = key[order], sid[order], size[order]
-            keep = np.ones(len(key), dtype=bool)
-            keep[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-            key, sid, size = key[keep], sid[keep], size[keep].astype(np.int32)
-            cut = C.bucket_bounds(key, buckets)
-            mine = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b + 1] > cut[b]]
-            yield C.record(FOUND, kind=[0] * len(mine), a=[b for b, _, _ in mine], b=[chunk] * len(mine), n=[int(y - x) for _, x, y in mine], body=[key[x:y].tobytes() + sid[x:y].tobytes() + size[x:y].tobytes() for _, x, y in mine])
-            for i in np.unique(s.key_set[use]).tolist():
-                yield C.record(FOUND, kind=[2], a=[int(s.ids[i])], b=[chunk], n=[int(s.sizes[i])], body=[s.shingles(i).tobytes()])
+            if len(x.key):
+                shared = marked(x.key, rows[1:])
+                enough = np.bincount(x.key_owner[shared], minlength=len(x.least)) >= x.least
+                for i in np.unique(x.key_set[shared & enough[x.key_owner]]).tolist():
+                    yield C.record(FOUND, kind=[2], a=[int(x.ids[i])], b=[None], n=[int(x.sizes[i])], body=[x.shingles(i).tobytes()])
 
     bits = C.materialise(repeated_keys(table.select("chunk", "body").mapInArrow(first_keys, KEYS), buckets, tasks, False), "bits")
     found = C.materialise(with_answers(table, bits, tasks).mapInArrow(gather, FOUND), "found")
     nodes = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("n").alias("n_shingles"))
-    sets = C.materialise(found.where("kind = 2").groupBy(F.col("a").alias("set_id")).agg(F.any_value("body").alias("body")), "sets")
+    sets = _pruned(found.where("kind = 2").groupBy(F.col("a").alias("set_id")).agg(F.any_value("body").alias("body")), tasks, p, q)
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.small_batches(batches, "body"):
+            parts = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            x = Keys(np.concatenate(parts), np.array([len(v) for v in parts]), np.array(batch.column(0).to_pylist(), dtype=np.int64), p, q)
+            key, sid, size = x.key, x.ids[x.key_set], (2 * x.sizes[x.key_set] + x.key_own).astype(np.int32)
+            order = np.lexsort((sid, key))
+            key, sid, size = key[order], sid[order], size[order]
+            cut = C.bucket_bounds(key, buckets)
+            mine = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b + 1] > cut[b]]
+            yield C.record(FOUND, kind=[0] * len(mine), a=[b for b, _, _ in mine], b=[None] * len(mine), n=[int(y - x) for _, x, y in mine], body=[key[x:y].tobytes() + sid[x:y].tobytes() + size[x:y].tobytes() for _, x, y in mine])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in C.groups(batches, "a"):
@@ -226,14 +237,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
             keep = np.ones(len(key), dtype=bool)
             keep[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
             key, sid, size = key[keep], sid[keep], size[keep]
-            a, b, large = _group_pairs(key, sid, size, p, q)
-            yield C.record(PAIRS, kind=[0] * len(a) + [1] * int(large.sum()), a=a.tolist() + key[large].view(np.int64).tolist(), b=b.tolist() + sid[large].tolist())
+            a, b, large = _group_pairs(key, sid, size // 2, p, q)
+            yield C.record(PAIRS, kind=[0] * len(a) + (1 + size[large] % 2).tolist(), a=a.tolist() + key[large].view(np.int64).tolist(), b=b.tolist() + sid[large].tolist())
 
-    met = C.materialise(C.by_bucket(found.where("kind = 0"), tasks, "a").mapInArrow(meet, PAIRS), "met")
+    met = C.materialise(C.by_bucket(sets.mapInArrow(postings, FOUND), tasks, "a").mapInArrow(meet, PAIRS), "met")
     links = _verified(met.where("kind = 0").select("a", "b").distinct(), sets, p, q)
     links = C.materialise(links, "verified")
     labels = components(links)
-    more = C.materialise(_finished(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("set_id")), labels, sets, p, q), "finished")
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.small_batches(batches, "body"):
+            parts = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            x = Keys(np.concatenate(parts), np.array([len(v) for v in parts]), np.array(batch.column(0).to_pylist(), dtype=np.int64), p, q)
+            # links have sizes in the same or neighbouring bands
+            band = np.floor(np.log(x.sizes) / np.log(q / p)).astype(np.int64)
+            yield C.record(NEEDS, set_id=x.ids.tolist(), need=x.need.tolist(), own=x.n_own.tolist(), band=band.tolist())
+
+    members = met.where("kind > 0").select(F.col("a").alias("key"), F.col("b").alias("set_id"), (F.col("kind") == 2).alias("mine"))
+    more = C.materialise(_finished(members, sets.mapInArrow(needs, NEEDS), labels, sets, p, q), "finished")
     if not more.isEmpty():
         labels = components(links.union(more))
     own = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
@@ -242,6 +263,32 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     return own.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "set_id")
 
 
+def _pruned(sets: DataFrame, tasks: int, p: int, q: int) -> DataFrame:
+    """The sets of whose shingles at least p / q occur in another of these sets: a link shares as many of either side."""
+    table = C.chunks(sets.select(F.col("set_id").alias("doc_id"), F.col("body").alias("text")))
+    buckets = 4 * tasks
+    shingles = lambda body: np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in body.column("text").to_pylist()]])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from key_rows(C.mix(shingles(C.from_body(row["body"]))), row["chunk"], buckets, False)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in C.groups(batches, "chunk"):
+            body = C.from_body(rows[0]["data"])
+            shared = np.concatenate(([0], np.cumsum(marked(C.mix(shingles(body)), rows[1:]))))
+            bodies = body.column("text").to_pylist()
+            size = np.array([len(x) // 8 for x in bodies])
+            end = np.cumsum(size)
+            good = np.flatnonzero(q * (shared[end] - shared[end - size]) >= p * size).tolist()
+            ids = body.column("doc_id").to_pylist()
+            yield C.record("set_id long, body binary", set_id=[ids[i] for i in good], body=[bodies[i] for i in good])
+
+    bits = C.materialise(repeated_keys(table.select("chunk", "body").mapInArrow(keys, KEYS), buckets, tasks, False), "shared")
+    return C.materialise(with_answers(table, bits, tasks).mapInArrow(keep, "set_id long, body binary"), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) of set ids that link, by their shingles."""
 
@@ -259,20 +306,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return right.join(sets.select(F.col("set_id").alias("a"), F.col("body").alias("left")), "a").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
-def _finished(members: DataFrame, labels: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Links between sets of larger groups whose group is not in one component yet, by pairs of blocks of the components that share keys."""
-    known = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    known = C.materialise(known, "known")
-    spread = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    mixed = C.materialise(known.join(spread, "key"), "mixed")
-    areas = components(mixed.select(F.col("low").alias("a"), F.col("label").alias("b")))
-    todo = mixed.select("set_id", "label").distinct().join(areas.select(F.col("node").alias("label"), F.col("label").alias("area")), "label")
-    blocks = todo.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = todo.join(blocks, "area").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).join(sets, "set_id")
-    # Every unordered pair of blocks is one group of at most two blocks of sets.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rows = placed.select("area", "block", "label", "set_id", "body", other)
-    rows = rows.select(F.xxhash64("area", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "set_id", "body")
+def _finished(members: DataFrame, needs: DataFrame, labels: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Links that chains of larger groups have missed.
+
+    A set has to look at `need` of its own keys to meet every linked set that isn't larger.  Keys of its
+    own, of small groups and of groups in one component have nothing left to find, so they come first; the
+    rest of its allocation goes to the groups with the fewest components.  Components that meet there
+    form areas; within an area, sets of the same or neighbouring sizes are compared in pairs of blocks
+    of BLOCK sets, without emitting pairs.
+    """
+    everyone = sets.select("set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    everyone = C.materialise(everyone, "everyone")
+    known = C.materialise(members.join(everyone, "set_id").groupBy("key", "label").agg(F.collect_list(F.when(F.col("mine"), F.col("set_id"))).alias("mine")), "known")
+    mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.min("label").alias("low")).where("labels > 1")
+    own = known.join(mixed, "key").select("key", "labels", "label", F.explode("mine").alias("set_id"))
+    spent = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("open")).join(needs, "set_id").select("set_id", (F.col("need") - (F.col("own") - F.col("open"))).alias("left")).where("left > 0")
+    turn = F.row_number().over(Window.partitionBy("set_id").orderBy("labels", "key"))
+    chosen = own.join(spent, "set_id").withColumn("turn", turn).where(F.col("turn") <= F.col("left")).select("key", "label")
+    asked = chosen.join(known.select("key", F.col("label").alias("other")), "key").where("label <> other").select("label", "other").distinct()
+    areas = components(asked.select(F.col("label").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("area"))
+    near = everyone.join(areas, "label").join(needs.select("set_id", "band"), "set_id")
+    near = near.select("set_id", "label", "area", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    near = C.materialise(near, "near")
+    shape = near.groupBy("area", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count_distinct("label").alias("labels")).where("labels > 1")
+    placed = near.join(shape, ["area", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    # every unordered pair of blocks is one group of at most two blocks of sets
+    rows = placed.select("area", "band", "block", "label", "set_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).join(sets, "set_id")
+    rows = rows.select(F.xxhash64("area", "band", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "set_id", "body")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in C.groups(batches, "pair"):
@@ -282,25 +342,19 @@ def _finished(members: DataFrame, labels: DataFrame, sets: DataFrame, p: int, q:
                 continue
             parts = [np.frombuffer(r["body"], np.uint64) for r in b]
             sizes = np.array([len(x) for x in parts])
-            every = np.concatenate(parts)
-            u, code = np.unique(every, return_inverse=True)
+            u, code = np.unique(np.concatenate(parts), return_inverse=True)
             at = np.cumsum(sizes) - sizes
             label = np.array([r["label"] for r in b])
-            ids = [r["set_id"] for r in b]
             out = set()
             for r in a:
-                if (label == r["label"]).all():
-                    continue
                 x = np.frombuffer(r["body"], np.uint64)
                 i = np.minimum(np.searchsorted(u, x), len(u) - 1)
                 mark = np.zeros(len(u), dtype=np.int64)
                 mark[i[u[i] == x]] = 1
-                common = np.add.reduceat(mark[code], at)
-                hit = np.flatnonzero(_linked(common, len(x), sizes, p, q) & (label != r["label"]))
+                hit = np.flatnonzero(_linked(np.add.reduceat(mark[code], at), len(x), sizes, p, q) & (label != r["label"]))
                 # one link to each other component is enough
                 for j in hit[np.unique(label[hit], return_index=True)[1]].tolist():
-                    out.add((r["set_id"], ids[j]))
+                    out.add((r["set_id"], b[j]["set_id"]))
             yield C.record("a long, b long", a=[x for x, _ in out], b=[y for _, y in out])
 
-    tasks = C.partitions(sets.sparkSession)
-    return C.by_bucket(rows, tasks, "pair").mapInArrow(compare, "a long, b long")
+    return C.by_bucket(rows, C.partitions(sets.sparkSession), "pair").mapInArrow(compare, "a long, b long")
