@@ -142,3 +142,18 @@ def predict(docs: DataFrame, model: Profiles) -> DataFrame:
 def held_out(doc_id, modulus: int, remainder: int):
     """Is crc32 of the id as text that remainder?  False for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def annotate(docs: DataFrame, model: Profiles) -> DataFrame:
+    """docs with lang_pred and score behind its own columns (which must not have these names), as predict() has them."""
+    from pyspark.sql import types as T
+
+    C.bound_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.small_batches(batches, "text"):
+            found = [model.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.append_column("lang_pred", pa.array([a for a, _ in found], pa.string())).append_column("score", pa.array([b for _, b in found], pa.float64()))
+
+    return docs.mapInArrow(run, schema)

@@ -42,30 +42,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps:
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps: tuple[float, ...] = RAMPS, cap: int = CAP) -> DataFrame:
-    """What the mix takes of each document: doc_id, source, size, source_size, target, taken, copies, before, ramp.
+    """What the mix takes of each document: doc_id, source, size, source_size, target, taken, copies, before, ramp, row.
 
     docs: doc_id long, text string, source string; other columns are ignored.  size: runs of characters
     other than ASCII white space (null: 0).  No document is taken more than cap times.  One row for each
     input row; equal ids are ordered by size, and rows equal in both are interchangeable.  Null sources
-    are one source, the last; a source of size 0 has target 0; an empty table gives no rows.
+    are one source, the last; a source of size 0 has target 0; an empty table gives no rows.  `row` is
+    the column _row of docs if there is one, and breaks the last ties.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = C.materialise(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`source`").cast("string").alias("source"), F.col("`text`").alias("text")).select("doc_id", "source", F.substring(digest, 1, 16).alias("digest"), size.alias("size")), "sizes")
+    key = F.col("_row") if "_row" in docs.columns else F.lit(0).cast("long")
+    rows = C.materialise(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`source`").cast("string").alias("source"), F.col("`text`").alias("text"), key.alias("row")).select("doc_id", "source", "row", F.substring(digest, 1, 16).alias("digest"), size.alias("size")), "sizes")
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(by.select("source", "source_size"), weights, ramps, cap)
     info = by.select(F.col("source").alias("s"), F.greatest(F.lit(1), F.ceil(F.col("n") / PART_ROWS)).alias("parts")).join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     info = info.select(F.col("source").alias("s"), "source_size", "target", "ramp", "parts")
     cut = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.col("parts") / F.lit(float(1 << 32))).cast("long")
     known = rows.join(info, F.col("source").eqNullSafe(F.col("s"))).withColumn("part", cut).drop("s")
-    own = Window.partitionBy("source", "part").orderBy("digest", "doc_id", "size")
+    own = Window.partitionBy("source", "part").orderBy("digest", "doc_id", "size", "row")
     sums = known.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     starts = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size")).alias("start"))
     within = known.withColumn("within", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = within.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("before", F.col("start") + F.col("within"))
     room = F.floor((F.col("target") - F.col("before") - F.col("size") / 2.0) / F.col("source_size"))
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.greatest(F.lit(0), room + 1))).otherwise(F.lit(0)).cast("long")
-    return placed.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "before", "ramp")
+    return placed.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "before", "ramp", "row")
 
 
 def position(words_before):
@@ -83,6 +85,16 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
     return copies.select("doc_id", "source", "size", "copy", at.alias("position")).repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
 
 
+def copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with all their columns, one for each copy that the mix takes, in training order; rows that it doesn't take go."""
+    numbered = C.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = mixture(numbered, **options).where("copies > 0")
+    at = position(F.col("_copy") * F.col("source_size") + F.col("before"))
+    plan = taken.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("_copy")).select(F.col("row").alias("_row"), "_copy", at.alias("_position"))
+    rows = numbered.join(plan, "_row").repartitionByRange("_position", "_row", "_copy").sortWithinPartitions("_position", "_row", "_copy")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 MIXTURE_SQL = """
 WITH sized AS (
   SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS digest,
