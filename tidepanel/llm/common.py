@@ -8,6 +8,7 @@ texts moves few large compressed rows instead of many small ones.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -22,6 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 4 << 20
+
+
+def _return_memory() -> None:
+    """Let large arrays go back to the system when they are freed: by default glibc keeps blocks of up to 32 MB for itself."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_return_memory()
 ENTRIES_PER_TASK = 4_000_000
 CHUNK_SCHEMA = "chunk long, n_bytes long, body binary"
 
@@ -57,6 +69,15 @@ def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that no later plan reads."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of finished plans."""
     gc.collect()
@@ -167,8 +188,25 @@ def encoded(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
 
 
-def words(texts: list[bytes], lower: bool = False) -> Words:
-    """Hash every run of bytes that are not ASCII white space, by a random table for the first 48 bytes of a word and by blake2b for longer words."""
+def words(texts: list[bytes], lower: bool = False, block: int = 1 << 20) -> Words:
+    """Hash every run of bytes that are not ASCII white space, by a random table for the first 48 bytes of a word and by blake2b for longer words.
+
+    Texts are taken in blocks of about `block` bytes, as a word's working arrays are many times its size.
+    """
+    parts, held, size = [], [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= block:
+            parts.append(_words(held, lower))
+            held, size = [], 0
+    if held or not parts:
+        parts.append(_words(held, lower))
+    base = np.cumsum([0, *[len(p.h) for p in parts]])
+    return Words(np.concatenate([[0], *[p.first[1:] + b for p, b in zip(parts, base)]]).astype(np.int64), np.concatenate([p.h for p in parts]))
+
+
+def _words(texts: list[bytes], lower: bool) -> Words:
     data = b" ".join(texts)
     if lower:
         data = data.translate(LOWER)
@@ -245,10 +283,27 @@ def widen(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint32, n).astype(np.uint64) | (np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
+def pack_ints(x: np.ndarray) -> bytes:
+    """Non-negative integers in the least of 1, 2, 4 or 8 bytes each; the first byte says which."""
+    top = int(x.max()) if len(x) else 0
+    size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([size]) + x.astype(f"u{size}").tobytes()
+
+
+def unpack_ints(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n packed integers from offset at, and the offset behind them."""
+    size = data[at]
+    return np.frombuffer(data, f"u{size}", n, at + 1).astype(np.int64), at + 1 + size * n
+
+
 def by_bucket(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """Rows of a bucket (or chunk) together and in order, streamed to one task; the bucket's size is bounded by the number of buckets."""
+    """Rows of a bucket (or chunk) together and in order, streamed to one task; the bucket's size is bounded by the number of buckets.
+
+    Buckets count from 0, so they are dealt out in turn and tasks get equally many; other keys go by hash.
+    """
     key = order[0]
-    return df.repartition(n, key).sortWithinPartitions(*order)
+    dealt = df.repartition(n, key) if key in ("chunk", "pair") else df.repartitionById(n, F.pmod(F.col(key), F.lit(n)).cast("int"))
+    return dealt.sortWithinPartitions(*order)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:

@@ -9,7 +9,7 @@ EXACT customers and by seating in blocks beyond.  Each sweep is one exchange: pa
 by word, the words' buckets seat the parent and send back what the next sweep needs.  Predictive
 probabilities are averaged over the last draws.
 
-Pairs are counted in buckets of (context, eighth of the words), so that the restaurant of the most common
+Pairs are counted in buckets of (context, quarter of the words), so that the restaurant of the most common
 word is spread; counts of words and pairs cover all training documents.
 """
 
@@ -32,7 +32,7 @@ PARTS = "bucket long, chunk long, n long, body binary"
 WORDS = "kind int, bucket long, chunk long, n long, tables double, own double, ones double, twos double, body binary"
 ANSWER = "chunk long, bucket long, n long, tokens long, types long, data binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-EXACT, DRAWS, SPLIT = 64, 4, 8
+EXACT, DRAWS, SPLIT = 64, 4, 4
 #: Ids of the end of a text and of the context at its start.
 END, START = np.uint64(1), np.uint64(2)
 
@@ -99,6 +99,8 @@ class Tokens:
         self.held = np.array(table.column("held").to_pylist(), dtype=bool)
         self.train = np.repeat(~self.held, np.diff(self.first))
         self.ids, codes = np.unique(np.concatenate((tok, [START])), return_inverse=True)
+        del w, tok
+        codes = codes.astype(np.int32)
         self.tok = codes[:-1]
         if pairs:
             ctx = np.concatenate(([codes[-1]], self.tok[:-1]))
@@ -108,10 +110,11 @@ class Tokens:
             # the order of pairs: part of the words, context, word
             part = (self.ids & np.uint64(SPLIT - 1)).astype(np.int64)
             self.codes, self.pair = np.unique((part[self.tok] * wide + ctx) * wide + self.tok, return_inverse=True)
+            self.pair = self.pair.astype(np.int32)
             self.counts = np.bincount(self.pair, weights=self.train, minlength=len(self.codes)).astype(np.uint32)
             rest, word = np.divmod(self.codes, wide)
             self.pair_part, self.pair_ctx = np.divmod(rest, wide)
-            self.pair_word = word
+            self.pair_word = word.astype(np.int32)
 
     def pair_rows(self, buckets: int) -> list[tuple[int, int, int]]:
         """Slices of the pairs by bucket: the word's part, then a range of contexts."""
@@ -120,19 +123,23 @@ class Tokens:
         return _ranges(b, own * SPLIT)
 
 
-def _pair_body(t: Tokens, x: int, y: int) -> bytes:
-    ctx, n = t.pair_ctx[x:y], y - x
+def _packed(ctx: np.ndarray, ctx_ids: np.ndarray, word_ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Pairs in order of context: runs of contexts, their ids, the words' ids, counts."""
     start = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
-    runs = np.diff(np.append(start, n)).astype(np.uint32)
-    return np.uint32(len(start)).tobytes() + runs.tobytes() + C.narrow(t.ids[ctx[start]]) + C.narrow(t.ids[t.pair_word[x:y]]) + t.counts[x:y].tobytes()
+    return np.uint32(len(start)).tobytes() + C.pack_ints(np.diff(np.append(start, len(ctx)))) + C.narrow(ctx_ids[start]) + C.narrow(word_ids) + C.pack_ints(counts)
 
 
 def _read_pairs(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    runs = np.frombuffer(body, np.uint32, int(np.frombuffer(body, np.uint32, 1)[0]), 4)
-    at = 4 + 4 * len(runs)
-    ctx = np.repeat(C.widen(body[at : at + 6 * len(runs)], len(runs)), runs)
-    at += 6 * len(runs)
-    return ctx, C.widen(body[at : at + 6 * n], n), np.frombuffer(body, np.uint32, n, at + 6 * n)
+    k = int(np.frombuffer(body, np.uint32, 1)[0])
+    runs, at = C.unpack_ints(body, 4, k)
+    ctx = np.repeat(C.widen(body[at : at + 6 * k], k), runs)
+    at += 6 * k
+    return ctx, C.widen(body[at : at + 6 * n], n), C.unpack_ints(body, at + 6 * n, n)[0]
+
+
+def _parent(mass: np.ndarray, model: dict) -> np.ndarray:
+    """The parent restaurant's predictive probabilities from the words' discounted tables."""
+    return (mass + (model["s0"] + model["seated"] * model["own"]) / model["types"]) / (model["s0"] + model["tables"])
 
 
 class Seats:
@@ -140,21 +147,20 @@ class Seats:
 
     def __init__(self, row: dict, answers: list[dict]):
         self.ctx, self.word, self.c = _read_pairs(row["body"], row["n"])
-        self.c = self.c.astype(np.int64)
         seen = self.c > 0
         self.at = np.flatnonzero(seen)
         self.ids, code = np.unique(np.concatenate((self.ctx[seen], self.word[seen])), return_inverse=True)
         self.u, self.w = code[: len(self.at)], code[len(self.at) :]
-        self.tables, self.own, self.there, self.room = (np.concatenate([np.frombuffer(a["data"], np.float64, a["n"], 8 * i * a["n"]) for a in answers]) if answers else np.zeros(len(self.ids)) for i in range(4))
+        self.mass, self.room = (np.concatenate([np.frombuffer(a["data"], np.float32, a["n"], 4 * i * a["n"]) for a in answers]).astype(float) if answers else np.zeros(len(self.ids)) for i in range(2))
 
     def draw(self, t: np.ndarray, model: dict, rng: np.random.Generator) -> np.ndarray:
         """A draw of all tables, given those before."""
-        parent = (np.maximum(self.tables - model["d0"] * self.own, 0.0) + (model["s0"] + model["d0"] * model["own"]) / model["types"]) / (model["s0"] + model["tables"])
+        parent = _parent(self.mass, model)
         rest = np.maximum(self.room[self.u] - t, 0.0)
         return draw_tables(self.c[self.at], rest, parent[self.w], model["d"], model["s"], rng)
 
 
-def score(docs: DataFrame, held, sweeps: int = 3, strength: float = 1.0, base_strength: float = 1.0, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, held, sweeps: int = 2, strength: float = 1.0, base_strength: float = 1.0, seed: int = 7) -> DataFrame:
     """Base and model log10 probability of every whole text.
 
     docs: doc_id long, text string; other columns are ignored; held: a Boolean column, true for documents
@@ -174,7 +180,7 @@ def score(docs: DataFrame, held, sweeps: int = 3, strength: float = 1.0, base_st
             for row in batch.to_pylist():
                 t = read(row)
                 mine = t.pair_rows(buckets)
-                yield C.record(ROW, bucket=[b for b, _, _ in mine], chunk=[row["chunk"]] * len(mine), n=[y - x for _, x, y in mine], body=[_pair_body(t, x, y) for _, x, y in mine])
+                yield C.record(ROW, bucket=[b for b, _, _ in mine], chunk=[row["chunk"]] * len(mine), n=[y - x for _, x, y in mine], body=[_packed(t.pair_ctx[x:y], t.ids[t.pair_ctx[x:y]], t.ids[t.pair_word[x:y]], t.counts[x:y]) for _, x, y in mine])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in C.groups(batches, "bucket"):
@@ -184,20 +190,18 @@ def score(docs: DataFrame, held, sweeps: int = 3, strength: float = 1.0, base_st
             key, back = np.unique(u * np.int64(len(ws)) + w, return_inverse=True)
             total = np.bincount(back, weights=c, minlength=len(key)).astype(np.int64)
             ku, kw = np.divmod(key, np.int64(len(ws)))
-            start = np.flatnonzero(np.concatenate(([True], ku[1:] != ku[:-1])))
-            runs = np.diff(np.append(start, len(key))).astype(np.uint32)
-            body = np.uint32(len(start)).tobytes() + runs.tobytes() + C.narrow(us[ku[start]]) + C.narrow(ws[kw]) + np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
+            body = _packed(ku, us[ku], ws[kw], total)
             yield C.record(STATE, kind=[0], bucket=[bucket], chunk=[-1], n=[len(key)], ones=[int((total == 1).sum())], twos=[int((total == 2).sum())], body=[body])
             at = 0
             for r in rows:
                 # positions rise within a row, as both sides are in the order of (context, word)
-                step = np.diff(back[at : at + r["n"]], prepend=0).astype(np.uint32)
-                yield C.record(STATE, kind=[1], bucket=[bucket], chunk=[r["chunk"]], n=[r["n"]], ones=[0], twos=[0], body=[step.tobytes()])
+                step = np.diff(back[at : at + r["n"]], prepend=0)
+                yield C.record(STATE, kind=[1], bucket=[bucket], chunk=[r["chunk"]], n=[r["n"]], ones=[0], twos=[0], body=[C.pack_ints(step)])
                 at += r["n"]
 
     state = C.materialise(C.by_bucket(table.select("chunk", "body").mapInArrow(pairs, ROW), tasks, "bucket", "chunk").mapInArrow(merge, STATE), "state")
     seen = state.where("kind = 0").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
-    model = {"d": _discount(seen.ones, seen.twos), "s": strength, "d0": 0.5, "s0": base_strength, "tables": 0.0, "own": 0.0, "types": 1.0}
+    model = {"d": _discount(seen.ones, seen.twos), "s": strength, "d0": 0.5, "seated": 0.5, "s0": base_strength, "tables": 0.0, "own": 0.0, "types": 1.0}
 
     def with_said(said: DataFrame | None, kinds: str) -> DataFrame:
         own = state.where(kinds).select("bucket", F.when(F.col("kind") == 0, -2).otherwise(1 << 40).cast("long").alias("order"), "chunk", "n", F.col("body").alias("data"))
@@ -215,9 +219,9 @@ def score(docs: DataFrame, held, sweeps: int = 3, strength: float = 1.0, base_st
                 t = np.ones(len(s.at), dtype=np.int64)
                 if step:
                     t = s.draw(t, model, np.random.default_rng([seed, step, bucket]))
-                sums = [np.bincount(at, weights=x, minlength=len(s.ids)) for at, x in ((s.w, t), (s.u, s.c[s.at]), (s.u, t))]
+                sums = [np.bincount(at, weights=t, minlength=len(s.ids)).astype(np.int64) for at in (s.w, s.u)]
                 mine = _ranges(_id_bucket(s.ids, buckets), buckets)
-                yield C.record(PARTS, bucket=[b for b, _, _ in mine], chunk=[bucket] * len(mine), n=[y - x for _, x, y in mine], body=[C.narrow(s.ids[x:y]) + np.stack([v[x:y] for v in sums]).astype(np.float32 if max(v[x:y].max() for v in sums) < 2**24 else np.float64).tobytes() for _, x, y in mine])
+                yield C.record(PARTS, bucket=[b for b, _, _ in mine], chunk=[bucket] * len(mine), n=[y - x for _, x, y in mine], body=[C.narrow(s.ids[x:y]) + b"".join(C.pack_ints(v[x:y]) for v in sums) for _, x, y in mine])
 
         return run
 
@@ -225,34 +229,34 @@ def score(docs: DataFrame, held, sweeps: int = 3, strength: float = 1.0, base_st
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bucket, rows in C.groups(batches, "bucket"):
                 ids = np.concatenate([C.widen(r["body"], r["n"]) for r in rows])
-                parts = [[], [], []]
+                parts: tuple[list, list] = ([], [])
                 for r in rows:
                     at = 6 * r["n"]
-                    left = len(r["body"]) - at
-                    kinds = _kinds(left, r["n"])
-                    for i, kind in enumerate(kinds):
-                        parts[i].append(np.frombuffer(r["body"][at : at + kind().itemsize * r["n"]], kind).astype(np.float64))
-                        at += kind().itemsize * r["n"]
+                    for own in parts:
+                        x, at = C.unpack_ints(r["body"], at, r["n"])
+                        own.append(x)
                 words, back = np.unique(ids, return_inverse=True)
-                tables, there, room = (np.bincount(back, weights=np.concatenate(x), minlength=len(words)) for x in parts)
+                tables, room = (np.bincount(back, weights=np.concatenate(x), minlength=len(words)) for x in parts)
                 rng = np.random.default_rng([seed, 1000 + step, bucket])
                 own = draw_tables(tables.astype(np.int64), np.full(len(words), max(model["own"] - 1, 0.0)), np.full(len(words), 1.0 / model["types"]), model["d0"], model["s0"], rng).astype(float)
-                columns = [tables, own, there, room]
+                columns = [np.maximum(tables - model["d0"] * own, 0.0).astype(np.float32), room.astype(np.float32)]
                 at = 0
                 for r in rows:
                     mine = back[at : at + r["n"]]
                     at += r["n"]
                     yield C.record(WORDS, kind=[0], bucket=[bucket], chunk=[r["chunk"]], n=[r["n"]], tables=[0.0], own=[0.0], ones=[0.0], twos=[0.0], body=[b"".join(v[mine].tobytes() for v in columns)])
-                yield C.record(WORDS, kind=[1], bucket=[bucket], chunk=[-1], n=[len(words)], tables=[float(tables.sum())], own=[float(own.sum())], ones=[float((tables == 1).sum())], twos=[float((tables == 2).sum())], body=[words.tobytes() + b"".join(v.tobytes() for v in columns)])
+                yield C.record(WORDS, kind=[1], bucket=[bucket], chunk=[-1], n=[len(words)], tables=[float(tables.sum())], own=[float(own.sum())], ones=[float((tables == 1).sum())], twos=[float((tables == 2).sum())], body=[C.narrow(words) + b"".join(v.tobytes() for v in columns)])
 
         return run
 
     said: DataFrame | None = None
     for step in range(sweeps):
         parts = with_said(said, "kind = 0").mapInArrow(sweep(step, dict(model)), PARTS)
-        said = C.materialise(C.by_bucket(parts, tasks, "bucket", "chunk").mapInArrow(seat(step, dict(model)), WORDS), "seated")
+        before, said = said, C.materialise(C.by_bucket(parts, tasks, "bucket", "chunk").mapInArrow(seat(step, dict(model)), WORDS), "seated")
+        if before is not None:
+            C.discard(before)
         r = said.where("kind = 1").agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in ("tables", "own", "ones", "twos")], F.coalesce(F.sum(F.col("n").cast("double")), F.lit(0.0)).alias("types")).first()
-        model |= {"tables": r.tables, "own": r.own, "types": r.types + 1.0}
+        model |= {"tables": r.tables, "own": r.own, "types": r.types + 1.0, "seated": model["d0"]}
         if step == 0:
             model["d0"] = _discount(r.ones, r.twos)
 
@@ -268,7 +272,7 @@ def score(docs: DataFrame, held, sweeps: int = 3, strength: float = 1.0, base_st
             kept[s.at] = s.c[s.at] - model["d"] * total / DRAWS
             for r in rows:
                 if r["order"] == 1 << 40:
-                    at = np.cumsum(np.frombuffer(r["data"], np.uint32).astype(np.int64))
+                    at = np.cumsum(C.unpack_ints(r["data"], 0, r["n"])[0])
                     yield C.record(ANSWER, chunk=[r["chunk"]], bucket=[bucket], n=[r["n"]], tokens=[0], types=[0], data=[kept[at].tobytes()])
 
     def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,36 +281,35 @@ def score(docs: DataFrame, held, sweeps: int = 3, strength: float = 1.0, base_st
                 t = read(row, pairs=False)
                 counts = np.bincount(t.tok, weights=t.train, minlength=len(t.ids)).astype(np.uint32)
                 mine = _ranges(_id_bucket(t.ids, buckets), buckets)
-                yield C.record(ROW, bucket=[b for b, _, _ in mine], chunk=[row["chunk"]] * len(mine), n=[y - x for _, x, y in mine], body=[C.narrow(t.ids[x:y]) + counts[x:y].tobytes() for _, x, y in mine])
+                yield C.record(ROW, bucket=[b for b, _, _ in mine], chunk=[row["chunk"]] * len(mine), n=[y - x for _, x, y in mine], body=[C.narrow(t.ids[x:y]) + C.pack_ints(counts[x:y]) for _, x, y in mine])
 
     def word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in C.groups(batches, "bucket"):
-            known, columns = np.zeros(0, dtype=np.uint64), np.zeros((4, 0))
+            known, columns = np.zeros(0, dtype=np.uint64), np.zeros((2, 0), dtype=np.float32)
             if rows[0]["chunk"] < 0:
                 head = rows.pop(0)
-                known = np.frombuffer(head["body"], np.uint64, head["n"])
-                columns = np.frombuffer(head["body"], np.float64, 4 * head["n"], 8 * head["n"]).reshape(4, -1)
+                known = C.widen(head["body"], head["n"])
+                columns = np.frombuffer(head["body"], np.float32, 2 * head["n"], 6 * head["n"]).reshape(2, -1)
             if not rows:
                 continue
             ids, back = np.unique(np.concatenate([C.widen(r["body"], r["n"]) for r in rows]), return_inverse=True)
-            c = np.bincount(back, weights=np.concatenate([np.frombuffer(r["body"], np.uint32, r["n"], 6 * r["n"]) for r in rows]), minlength=len(ids))
-            full = np.zeros((4, len(ids)))
+            c = np.bincount(back, weights=np.concatenate([C.unpack_ints(r["body"], 6 * r["n"], r["n"])[0] for r in rows]), minlength=len(ids)).astype(np.int64)
+            full = np.zeros((2, len(ids)), dtype=np.float32)
             if len(known):
                 at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 hit = known[at] == ids
                 full[:, hit] = columns[:, at[hit]]
-            tables, own, there, room = full
-            parent = (np.maximum(tables - model["d0"] * own, 0.0) + (model["s0"] + model["d0"] * model["own"]) / model["types"]) / (model["s0"] + model["tables"])
-            out = [c, parent, model["s"] + there, model["s"] + model["d"] * room]
             at = 0
             for i, r in enumerate(rows):
                 mine = back[at : at + r["n"]]
                 at += r["n"]
-                yield C.record(ANSWER, chunk=[r["chunk"]], bucket=[bucket + buckets], n=[r["n"]], tokens=[int(c.sum()) if i == 0 else 0], types=[int((c > 0).sum()) if i == 0 else 0], data=[b"".join(v[mine].tobytes() for v in out)])
+                yield C.record(ANSWER, chunk=[r["chunk"]], bucket=[bucket + buckets], n=[r["n"]], tokens=[int(c.sum()) if i == 0 else 0], types=[int((c > 0).sum()) if i == 0 else 0], data=[full[0, mine].tobytes() + full[1, mine].tobytes() + C.pack_ints(c[mine])])
 
     pair_answers = C.materialise(with_said(said, "kind in (0, 1)").mapInArrow(settle, ANSWER), "pairs")
+    C.discard(state)
     both = table.select("chunk", "body").mapInArrow(word_keys, ROW).unionByName(said.where("kind = 1").select("bucket", "chunk", "n", "body"))
     answers = C.materialise(C.by_bucket(both, tasks, "bucket", "chunk").mapInArrow(word_answers, ANSWER), "words").unionByName(pair_answers)
+    C.discard(said)
     totals = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
     n_train, types = int(totals.tokens), int(totals.types)
 
@@ -315,10 +318,14 @@ def score(docs: DataFrame, held, sweeps: int = 3, strength: float = 1.0, base_st
             body = C.from_body(rows[0]["data"])
             t = Tokens(body)
             kept = np.concatenate([np.frombuffer(r["data"], np.float32) for r in rows[1:] if r["bucket"] < buckets]).astype(np.float64)
-            c, parent, customers, room = (np.concatenate([np.frombuffer(r["data"], np.float64, r["n"], 8 * i * r["n"]) for r in rows[1:] if r["bucket"] >= buckets]) for i in range(4))
+            said = [r for r in rows[1:] if r["bucket"] >= buckets]
+            mass, tables = (np.concatenate([np.frombuffer(r["data"], np.float32, r["n"], 4 * i * r["n"]) for r in said]).astype(float) for i in range(2))
+            c = np.concatenate([C.unpack_ints(r["data"], 8 * r["n"], r["n"])[0] for r in said]).astype(float)
             base = np.log10((c + 1.0) / (n_train + types + 1.0))[t.tok]
-            # START is among the ids but no token: its row holds the restaurant of first words.
-            p = np.log10((kept[t.pair] + room[t.ctx] * parent[t.tok]) / customers[t.ctx])
+            # A word's restaurant has as many customers as the word has training tokens; that of starts (the second id) as many as there are ends (the first).
+            customers = model["s"] + c
+            customers[1] = model["s"] + c[0]
+            p = np.log10((kept[t.pair] + (model["s"] + model["d"] * tables)[t.ctx] * _parent(mass, model)[t.tok]) / customers[t.ctx])
             by_doc = lambda x: np.add.reduceat(x, t.first[:-1]) if len(x) else x
             k = len(t.held)
             yield C.record(RESULT, doc_id=body.column("doc_id").to_pylist(), held_out=t.held.tolist(), n_tokens=np.diff(t.first).tolist(), n_known=by_doc((c[t.tok] > 0).astype(np.int64)).tolist(), train_tokens=[n_train] * k, base_score=by_doc(base).tolist(), score=by_doc(p).tolist())
@@ -330,9 +337,3 @@ def _discount(ones: float | None, twos: float | None) -> float:
     """The discount that counts of counts suggest, n1 / (n1 + 2 n2), within 0.1 and 0.95; 0.5 without counts."""
     ones, twos = float(ones or 0), float(twos or 0)
     return round(min(0.95, max(0.1, ones / (ones + 2 * twos))), 3) if ones else 0.5
-
-
-def _kinds(left: int, n: int) -> list:
-    """The float types of three columns of n values in `left` bytes: 4 bytes each, or 8 where values are large."""
-    wide = (left - 12 * n) // (4 * n) if n else 0
-    return [np.float32] * 3 if wide == 0 else [np.float64] * 3
