@@ -322,9 +322,10 @@ def _finished(members: DataFrame, needs: DataFrame, labels: DataFrame, sets: Dat
     own = known.join(mixed, "key").select("key", "labels", "label", F.explode("mine").alias("set_id"))
     spent = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("open")).join(needs, "set_id").select("set_id", (F.col("need") - (F.col("own") - F.col("open"))).alias("left")).where("left > 0")
     turn = F.row_number().over(Window.partitionBy("set_id").orderBy("labels", "key"))
-    chosen = own.join(spent, "set_id").withColumn("turn", turn).where(F.col("turn") <= F.col("left")).select("key", "label")
-    asked = chosen.join(known.select("key", F.col("label").alias("other")), "key").where("label <> other").select("label", "other").distinct()
-    areas = components(asked.select(F.col("label").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("area"))
+    chosen = own.join(spent, "set_id").withColumn("turn", turn).where(F.col("turn") <= F.col("left")).select("key")
+    # All components of a chosen group are one area: a star from the least label, not pairs, connects them.
+    met = known.select("key", "label").join(chosen.distinct(), "key").join(mixed.select("key", "low"), "key")
+    areas = components(met.select(F.col("low").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("area"))
     near = everyone.join(areas, "label").join(needs.select("set_id", "band"), "set_id")
     near = near.select("set_id", "label", "area", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
     near = C.materialise(near, "near")
