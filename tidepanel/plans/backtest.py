@@ -28,25 +28,26 @@ def weight_nav(panel: DataFrame, targets: DataFrame, buy_cost: float = 0.0008, s
     day).  Weights act from the day after; a day's value between executions is the weighted mean of the
     holdings' growth since; an execution day's return is less the costs of the moves from the drifted to
     the new weights.  The days before the first execution have nav 1.
+
+    Each row carries its code's last execution along the code's own window, so the panel keeps the
+    partitioning of its factors, and only the few rows that are held or bought go to their dates.
     """
-    execs = targets.select("t_idx").distinct().withColumn("next", F.lead("t_idx").over(Window.orderBy("t_idx")))
-    held = targets.join(execs, "t_idx").select(F.col("t_idx").alias("e"), "next", "code", "weight")
-    prices = panel.select("code", "date", "t_idx", "open_ff")
-    base = prices.select("code", F.col("t_idx").alias("e"), F.col("open_ff").alias("base"))
-    # each holding's path: the days after its execution up to the next one; joined by code, then cut to the period
-    path = held.join(base, ["code", "e"], "left").join(prices, "code").where((F.col("t_idx") > F.col("e")) & (F.col("t_idx") <= F.coalesce("next", F.lit(1 << 30))))
-    grown = path.withColumn("value", F.col("weight") * F.coalesce(F.try_divide(F.col("open_ff"), F.col("base")), F.lit(1.0)))
-    by_day = grown.groupBy("e", "next", "t_idx").agg(F.sum("value").alias("growth"), F.sum("weight").alias("total"))
-    by_day = by_day.withColumn("growth", F.col("growth") / F.col("total"))
-    drift = grown.where("t_idx = next").join(by_day.select("e", "t_idx", F.col("growth").alias("g"), "total"), ["e", "t_idx"]).select("t_idx", "code", (F.col("value") / (F.col("g") * F.col("total"))).alias("old"))
-    moves = drift.join(targets.withColumnRenamed("weight", "new"), ["t_idx", "code"], "full").select("t_idx", (F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))).alias("move"))
-    costs = moves.groupBy("t_idx").agg((F.sum(F.greatest("move", F.lit(0.0))) * buy_cost + F.sum(F.greatest(-F.col("move"), F.lit(0.0))) * sell_cost).alias("cost"))
-    days = panel.select("date", "t_idx").distinct()
-    w = Window.partitionBy("e").orderBy("t_idx")
-    daily = by_day.withColumn("raw", F.col("growth") / F.coalesce(F.lag("growth").over(w), F.lit(1.0)) - 1).select("t_idx", "raw")
-    rows = days.join(daily, "t_idx", "left").join(costs, "t_idx", "left").withColumn("ret", F.coalesce("raw", F.lit(0.0)) - F.coalesce("cost", F.lit(0.0)))
+    execs = F.broadcast(targets.select("t_idx").distinct().withColumn("is_exec", F.lit(True)))  # no more rows than dates
+    rows = panel.select("code", "date", "t_idx", "open_ff").join(execs, "t_idx", "left").join(targets, ["t_idx", "code"], "left")
+    mark = F.when(F.col("is_exec"), F.struct(F.col("t_idx").alias("e"), F.coalesce("weight", F.lit(0.0)).alias("w"), F.col("open_ff").alias("base")))
+    held = F.last(mark, ignorenulls=True).over(ts().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("held", held).where("held.w > 0 or weight > 0")
+    rows = rows.select("t_idx", "is_exec", F.coalesce("weight", F.lit(0.0)).alias("new"), F.col("held.e").alias("e"), F.coalesce("held.w", F.lit(0.0)).alias("w"), F.when(F.col("held.w") > 0, F.col("held.w") * F.coalesce(F.try_divide(F.col("open_ff"), F.col("held.base")), F.lit(1.0))).otherwise(0.0).alias("value"))
+    by_day = Window.partitionBy("t_idx")
+    move = F.when(F.col("is_exec"), F.col("new") - F.coalesce(F.try_divide(F.col("value"), F.sum("value").over(by_day)), F.lit(0.0)))
+    daily = rows.withColumn("move", move).groupBy("t_idx").agg(
+        F.max("e").alias("e"), F.try_divide(F.sum("value"), F.sum("w")).alias("growth"), (F.sum(F.greatest("move", F.lit(0.0))) * buy_cost + F.sum(F.greatest(-F.col("move"), F.lit(0.0))) * sell_cost).alias("cost")
+    )
+    before = F.lag("growth").over(Window.partitionBy("e").orderBy("t_idx"))
+    daily = daily.select("t_idx", (F.coalesce(F.col("growth") / F.when(F.col("e").isNotNull(), F.coalesce(before, F.lit(1.0))), F.lit(1.0)) - 1 - F.coalesce("cost", F.lit(0.0))).alias("ret"))
+    days = panel.select("date", "t_idx").distinct().join(daily, "t_idx", "left")
     run = Window.orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("date", "t_idx", F.exp(F.sum(F.log1p("ret")).over(run)).alias("nav"))
+    return days.select("date", "t_idx", F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(run)).alias("nav"))
 
 
 def weight_loop(opens: dict[str, list[float | None]], targets: dict[int, dict[str, float]], n_days: int, buy_cost: float = 0.0008, sell_cost: float = 0.0013) -> list[float]:
