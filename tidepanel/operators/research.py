@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import cs, ts, avg_rank, change, forward_return, pct_rank, ratio, rolling
+from ..functions.windows import avg_rank, change, cs, forward_return, frame, pct_rank, ratio, rolling, ts
 from .evaluate import group_returns, ic_summary, rank_ic
 
 
@@ -52,8 +52,52 @@ def rolling_alphas(windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> dict[str,
     return out
 
 
+def _correlation(a: Column, b: Column, n: int) -> Column:
+    """The rolling correlation of two columns; null with a gap, or where one of them is constant."""
+    w = frame(n)
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.when(F.count(x).over(w) >= n, ratio(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)))
+
+
+def trend_alphas(windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> dict[str, Column]:
+    """Rolling lines through the close, and correlations of price and volume; over a dense panel (t_idx)."""
+    out: dict[str, Column] = {}
+    c = F.col("close")
+    log_volume = F.log1p("volume")
+    for n in windows:
+        w = frame(n)
+        full = F.count("close").over(w) >= n
+        slope, level = F.regr_slope("close", "t_idx").over(w), F.regr_intercept("close", "t_idx").over(w)
+        out |= {
+            f"BETA{n}": F.when(full, ratio(slope, c)),
+            f"RSQR{n}": F.when(full & (F.var_pop("close").over(w) * n >= 1e-12), F.regr_r2("close", "t_idx").over(w)),
+            f"RESI{n}": F.when(full, ratio(c - (slope * F.col("t_idx") + level), c)),
+            f"CORR{n}": _correlation(c, log_volume, n),
+        }
+    return out
+
+
+def move_alphas(windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> dict[str, Column]:
+    """Shares of rising and falling steps, and of their sizes; over a panel with `ret`, `step` and `vstep` (with_steps)."""
+    out: dict[str, Column] = {}
+    for n in windows:
+        up, down = (rolling(F.avg, F.when(F.col("ret").isNotNull(), cond.cast("double")), n) for cond in (F.col("ret") > 0, F.col("ret") < 0))
+        out |= {f"CNTP{n}": up, f"CNTN{n}": down, f"CNTD{n}": up - down}
+        for prefix, step in (("SUM", "step"), ("VSUM", "vstep")):
+            total = rolling(F.sum, F.abs(step), n)
+            gain, loss = (ratio(rolling(F.sum, F.greatest(sign * F.col(step), F.lit(0.0)), n), total) for sign in (1, -1))
+            out |= {f"{prefix}P{n}": gain, f"{prefix}N{n}": loss, f"{prefix}D{n}": gain - loss}
+    return out
+
+
+def with_steps(panel: DataFrame) -> DataFrame:
+    """step and vstep: the changes of close and volume."""
+    return panel.withColumns({"step": F.col("close") - F.lag("close").over(ts()), "vstep": F.col("volume") - F.lag("volume").over(ts())})
+
+
 def alpha_set(name: str) -> dict[str, Column]:
-    return {"candles": candle_alphas(), "rolling": rolling_alphas(), "all": candle_alphas() | rolling_alphas()}[name]
+    return {"candles": candle_alphas(), "rolling": rolling_alphas(), "trends": trend_alphas(), "moves": move_alphas(), "all": candle_alphas() | rolling_alphas() | trend_alphas() | move_alphas()}[name]
 
 
 def with_vwap(panel: DataFrame, lot: float = 1.0) -> DataFrame:

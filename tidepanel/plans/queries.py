@@ -731,6 +731,26 @@ def candle_alphas(spark, sf_dir):
 factor_query("rolling_alphas", {"ROC5": (lambda: research.rolling_alphas((5,))["ROC5"], f"lag(close, 5) OVER ({TS}) / nullif(close, 0)"), "RSV5": (lambda: research.rolling_alphas((5,))["RSV5"], f"(close - ({roll('min', 'low', 5)})) / nullif(({roll('max', 'high', 5)}) - ({roll('min', 'low', 5)}), 0)"), "VMA5": (lambda: research.rolling_alphas((5,))["VMA5"], f"({roll('avg', 'volume', 5)}) / nullif(volume, 0)")})
 
 
+W5 = f"({TS} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+
+
+@register(
+    "trend_alphas",
+    f"""WITH {DENSE}, s AS (SELECT *, ln(1 + volume) AS lv, close - lag(close) OVER ({TS}) AS step FROM dense),
+    a AS (SELECT date, code,
+      CASE WHEN count(close) OVER w >= 5 THEN regr_slope(close, t_idx) OVER w / nullif(close, 0) END AS beta,
+      CASE WHEN count(close) OVER w >= 5 THEN covar_pop(close, lv) OVER w / nullif(stddev_pop(close) OVER w * stddev_pop(lv) OVER w, 0) END AS corr,
+      CASE WHEN count(ret) OVER w >= 5 THEN avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) OVER w END AS cntp,
+      CASE WHEN count(step) OVER w >= 5 THEN sum(CASE WHEN step IS NOT NULL THEN greatest(step, 0.0) END) OVER w / nullif(sum(abs(step)) OVER w, 0) END AS sump
+      FROM s WINDOW w AS {W5})
+    SELECT date, code, round(beta, 7) + 0.0 AS beta, round(corr, 7) + 0.0 AS corr, round(cntp, 8) + 0.0 AS cntp, round(sump, 7) + 0.0 AS sump FROM a WHERE beta IS NOT NULL""",
+)
+def trend_alphas(spark, sf_dir):
+    rows = research.with_steps(dense_week(spark, sf_dir))
+    found = rows.select("date", "code", research.trend_alphas((5,))["BETA5"].alias("beta"), research.trend_alphas((5,))["CORR5"].alias("corr"), research.move_alphas((5,))["CNTP5"].alias("cntp"), research.move_alphas((5,))["SUMP5"].alias("sump"))
+    return rounded(rounded(found.where("beta is not null"), "beta", "corr", "sump", digits=7), "cntp")
+
+
 @register("factor_coverage", f"WITH {DENSE}, {SCORES} SELECT 'mom5' AS name, count(mom5) AS n, round(count(mom5) / count(*), 8) AS coverage FROM f UNION ALL SELECT 'vol5', count(vol5), round(count(vol5) / count(*), 8) FROM f")
 def factor_coverage(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("fwd", forward_return("close", 5))
