@@ -11,8 +11,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,16 +51,51 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="tidepanel-")
             spark.conf.set("spark.tidepanel.scratch", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPE:
+        _SCOPE[-1].append(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts the lineage and lets shuffle files go."""
+_SCOPE: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the scratch paths that are made inside, for drop()."""
+    paths: list[str] = []
+    _SCOPE.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.pop()
+        if _SCOPE:
+            _SCOPE[-1].extend(paths)
+
+
+def drop(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Delete scratch paths that no later plan reads, but those that `keep` reads."""
+    files = keep.inputFiles() if keep is not None else []
+    for path in paths:
+        tail = path.rsplit("/", 1)[1]
+        if not any(f"/{tail}/" in f for f in files):
+            _delete(spark, path)
+    paths.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialise(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: cuts the lineage and, with free, lets shuffle files go."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
+    if free:
+        release(spark)
     return out
 
 
@@ -69,19 +106,20 @@ def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that no later plan reads."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of finished plans."""
+    """Let the context cleaner drop the shuffle files of finished plans: the second collection finds what the first has finalised."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.4)
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession, entries: int = 0) -> int:

@@ -215,6 +215,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
 
     bits = C.materialise(repeated_keys(table.select("chunk", "body").mapInArrow(first_keys, KEYS), buckets, tasks, False), "bits")
     found = C.materialise(with_answers(table, bits, tasks).mapInArrow(gather, FOUND), "found")
+    C.discard(table, bits)
     nodes = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("n").alias("n_shingles"))
     sets = _pruned(found.where("kind = 2").groupBy(F.col("a").alias("set_id")).agg(F.any_value("body").alias("body")), tasks, p, q)
 
@@ -242,7 +243,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
 
     met = C.materialise(C.by_bucket(sets.mapInArrow(postings, FOUND), tasks, "a").mapInArrow(meet, PAIRS), "met")
     links = _verified(met.where("kind = 0").select("a", "b").distinct(), sets, p, q)
-    links = C.materialise(links, "verified")
+    links = C.materialise(links, "verified", free=False)
     labels = components(links)
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +255,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
             yield C.record(NEEDS, set_id=x.ids.tolist(), need=x.need.tolist(), own=x.n_own.tolist(), band=band.tolist())
 
     members = met.where("kind > 0").select(F.col("a").alias("key"), F.col("b").alias("set_id"), (F.col("kind") == 2).alias("mine"))
-    more = C.materialise(_finished(members, sets.mapInArrow(needs, NEEDS), labels, sets, p, q), "finished")
+    more = C.materialise(_finished(members, sets.mapInArrow(needs, NEEDS), labels, sets, p, q), "finished", free=False)
     if not more.isEmpty():
         labels = components(links.union(more))
     own = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    own = C.materialise(own, "members")
+    own = C.materialise(own, "members", free=False)
+    C.discard(found, sets)
     least = own.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return own.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "set_id")
 
@@ -286,7 +288,9 @@ def _pruned(sets: DataFrame, tasks: int, p: int, q: int) -> DataFrame:
             yield C.record("set_id long, body binary", set_id=[ids[i] for i in good], body=[bodies[i] for i in good])
 
     bits = C.materialise(repeated_keys(table.select("chunk", "body").mapInArrow(keys, KEYS), buckets, tasks, False), "shared")
-    return C.materialise(with_answers(table, bits, tasks).mapInArrow(keep, "set_id long, body binary"), "sets")
+    out = C.materialise(with_answers(table, bits, tasks).mapInArrow(keep, "set_id long, body binary"), "sets")
+    C.discard(table, bits)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -316,8 +320,8 @@ def _finished(members: DataFrame, needs: DataFrame, labels: DataFrame, sets: Dat
     of BLOCK sets, without emitting pairs.
     """
     everyone = sets.select("set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    everyone = C.materialise(everyone, "everyone")
-    known = C.materialise(members.join(everyone, "set_id").groupBy("key", "label").agg(F.collect_list(F.when(F.col("mine"), F.col("set_id"))).alias("mine")), "known")
+    everyone = C.materialise(everyone, "everyone", free=False)
+    known = C.materialise(members.join(everyone, "set_id").groupBy("key", "label").agg(F.collect_list(F.when(F.col("mine"), F.col("set_id"))).alias("mine")), "known", free=False)
     mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.min("label").alias("low")).where("labels > 1")
     own = known.join(mixed, "key").select("key", "labels", "label", F.explode("mine").alias("set_id"))
     spent = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("open")).join(needs, "set_id").select("set_id", (F.col("need") - (F.col("own") - F.col("open"))).alias("left")).where("left > 0")
@@ -328,7 +332,7 @@ def _finished(members: DataFrame, needs: DataFrame, labels: DataFrame, sets: Dat
     areas = components(met.select(F.col("low").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("area"))
     near = everyone.join(areas, "label").join(needs.select("set_id", "band"), "set_id")
     near = near.select("set_id", "label", "area", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    near = C.materialise(near, "near")
+    near = C.materialise(near, "near", free=False)
     shape = near.groupBy("area", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count_distinct("label").alias("labels")).where("labels > 1")
     placed = near.join(shape, ["area", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
     # every unordered pair of blocks is one group of at most two blocks of sets
