@@ -2,37 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe, common, jaccard, langid, mixing, suffix
 
+_MADE: list[str] = []
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the scratch tables of the stage before, whose result has been written by now."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.drop(spark, _MADE, keep=docs)
+        with common.scope() as made:
+            out = function(spark, docs, sf_dir)
+        _MADE.extend(made)
+        return out
+
+    return run_stage
+
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language: null texts and texts without letters, and texts far from every profile."""
     model = langid.train(docs)
     return langid.annotate(docs, model).where("lang_pred <> 'und' and score >= 0.1").select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates (five words, similarity 0.75), one row of it."""
-    found = jaccard.jaccard_components(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    # rows with the same id are copies or versions of one document: one of them stays
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keep one row of each group of near duplicates (five words, similarity 0.75): that of the smallest id, null ids last."""
+    numbered = common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard.jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first")
+    keep = numbered.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
+    return numbered.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages of 50 words or more that occurred before, and nothing else."""
     return suffix.remove_repeats(docs, min_words=50)
 
 
+@_stage
 def curriculum(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes, in training order."""
     return mixing.copies(docs).select(*docs.columns)
 
 
+@_stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and the decoded text of every training row."""
     import public_tokenizers
