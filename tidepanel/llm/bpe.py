@@ -9,6 +9,7 @@ by the vocabulary's pattern and merged exactly.  Ids and decoded bytes of recent
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import mmap
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LEXICON_WORDS = 1 << 16
-MEMO_WORDS = 500_000
+LEXICON_WORDS = 1 << 17
+MEMO_WORDS = 450_000
 COUNTS = "word string, n long"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
 #: The characters with the Unicode property White_Space.
@@ -64,6 +65,13 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+NONE = np.iinfo(np.int32).max
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a byte-level BPE vocabulary file in the tokenizers library's JSON format."""
 
@@ -84,6 +92,70 @@ class Vocabulary:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+
+    def _merge_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The merges in an open hash table of arrays: keys, ranks, new ids."""
+        if not hasattr(self, "_table"):
+            keys, ranks, new = np.zeros(1 << 18, np.uint64), np.full(1 << 18, NONE, np.int32), np.zeros(1 << 18, np.int32)
+            pairs = np.array(list(self.merges), dtype=np.uint64).reshape(-1, 2)
+            key = (pairs[:, 0] << np.uint64(32) | pairs[:, 1]) + np.uint64(1)
+            values = np.array(list(self.merges.values()), dtype=np.int32).reshape(-1, 2)
+            slot, left = _slot(key), np.arange(len(key))
+            while len(left):
+                free = keys[slot[left]] == 0
+                take = left[free][np.unique(slot[left[free]], return_index=True)[1]]
+                keys[slot[take]], ranks[slot[take]], new[slot[take]] = key[take], values[take, 0], values[take, 1]
+                left = left[~np.isin(left, take)]
+                slot[left] = (slot[left] + 1) & (len(keys) - 1)
+            self._table = keys, ranks, new
+        return self._table
+
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair (NONE if it isn't merged) and its new id."""
+        keys, ranks, new = self._merge_table()
+        key = (a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) + np.uint64(1)
+        slot = _slot(key)
+        there = keys[slot]
+        left = np.flatnonzero((there != key) & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(keys) - 1)
+            there = keys[slot[left]]
+            left = left[(there != key[left]) & (there != 0)]
+        return np.where(keys[slot] == key, ranks[slot], NONE), new[slot]
+
+    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """merge() of every piece, all pieces at once: each round does every piece's first merge of lowest rank."""
+        out: list[list[int]] = [[]] * len(pieces)
+        lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        for i in np.flatnonzero(lens > 200).tolist():
+            out[i] = self.merge(pieces[i])
+        who = np.flatnonzero((lens > 0) & (lens <= 200))
+        ids = np.array(self.byte_id, dtype=np.int32)[np.frombuffer(b"".join([pieces[i] for i in who.tolist()]), np.uint8)]
+        n = lens[who]
+        while len(who):
+            first = np.cumsum(n) - n
+            rank, new = np.full(len(ids), NONE, np.int32), np.zeros(len(ids), np.int32)
+            rank[:-1], new[:-1] = self._pair_ranks(ids[:-1], ids[1:])
+            rank[first + n - 1] = NONE
+            best = np.minimum.reduceat(rank, first)
+            over = best == NONE
+            if over.any():
+                done = ids[np.repeat(over, n)].tolist()
+                at = 0
+                for i, k in zip(who[over].tolist(), n[over].tolist()):
+                    out[i] = done[at : at + k]
+                    at += k
+            owner = np.repeat(np.arange(len(who)), n)
+            at = np.flatnonzero((rank == best[owner]) & ~over[owner])
+            at = at[np.unique(owner[at], return_index=True)[1]]  # the leftmost of each piece
+            ids[at] = new[at]
+            keep = ~over[owner]
+            keep[at + 1] = False
+            ids, who, n = ids[keep], who[~over], n[~over] - 1
+        return out
+
     def merge(self, piece: bytes) -> list[int]:
         """Apply the merges of lowest rank first, leftmost first among equals."""
         ids = [self.byte_id[b] for b in piece]
@@ -181,6 +253,33 @@ class Lexicon:
         view = memoryview(self.map)
         ints = lambda i: view[at[i] : at[i + 1]].cast("I")
         self.first, self.targets, self.outputs, self.at, self.ids = map(ints, range(2, 7))
+        self.np_targets, self.np_outputs = (np.frombuffer(view[at[i] : at[i + 1]], np.uint32) for i in (3, 4))
+        own = np.repeat(np.arange(len(self.first) - 1), np.diff(np.asarray(self.first, dtype=np.int64)))
+        self.arc_keys = (own << 8) | np.frombuffer(view[at[0] : at[0] + len(own)], np.uint8)
+
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """get() of every word, all words at once: a step of the automaton for all words that are still in it."""
+        out: list[list[int] | None] = [None] * len(words)
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        at = np.cumsum(lens) - lens
+        live, state, number = np.arange(len(words)), np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        step = 0
+        while len(live):
+            ended = lens[live] == step
+            for i, s, k in zip(live[ended].tolist(), state[ended].tolist(), number[ended].tolist()):
+                if self.map[self.finals + s]:
+                    out[i] = self.ids[self.at[k] : self.at[k + 1]].tolist()
+            live, state, number = live[~ended], state[~ended], number[~ended]
+            if not len(live) or not len(self.arc_keys):
+                break
+            key = (state << 8) | data[at[live] + step]
+            arc = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
+            hit = self.arc_keys[arc] == key
+            live, arc = live[hit], arc[hit]
+            state, number = self.np_targets[arc].astype(np.int64), number[hit] + self.np_outputs[arc]
+            step += 1
+        return out
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of a word of the lexicon."""
@@ -198,29 +297,25 @@ class Lexicon:
         return self.ids[self.at[number] : self.at[number + 1]].tolist()
 
 
-class _Irregular(Exception):
-    """A text has white space other than single blanks and single line feeds between words."""
-
-
-class _Memo(dict):
-    """word -> (ids joined by commas, the bytes they stand for) of prefix + word, filled on demand, emptied when full."""
+_WHITE = re.compile(f"[{WHITE}]")
 
-    def __init__(self, fill, prefix: str):
-        super().__init__()
-        self.fill, self.prefix = fill, prefix
 
-    def __missing__(self, word: str) -> tuple[str, bytes]:
-        if not word or _WHITE.search(word):
-            raise _Irregular
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        out = self.fill(self.prefix + word)
-        if len(word) < 64:
-            self[word] = out
-        return out
+class _Memo:
+    """word -> ids joined by commas, in two generations: words not used while a generation fills up are forgotten."""
 
+    def __init__(self):
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
-_WHITE = re.compile(f"[{WHITE}]")
+    def missing(self, words: set[str]) -> set[str]:
+        """Bring what is known of the words into the young generation; the words that aren't known."""
+        if len(self.young) + len(words) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        new = words - self.young.keys()
+        old = self.old
+        known = [w for w in new if w in old]
+        self.young.update([(w, old[w]) for w in known])
+        return new.difference(known)
 
 
 class Encoder:
@@ -228,57 +323,83 @@ class Encoder:
 
     No piece spans a single blank or line feed between two words, so a regular text is cut there, which
     is much cheaper than the pattern; a word that is not in the lexicon is cut by the pattern and merged.
-    Texts with other white space, or with special tokens, are cut by the pattern as a whole.
+    Texts with other white space, or with special tokens, are cut by the pattern as a whole.  Words are
+    looked up and merged for many texts at once and memoised.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         special = vocabulary.special
         self.split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.first, self.later = _Memo(self.unit, ""), _Memo(self.unit, " ")
-
-    def _out(self, ids: list[int]) -> tuple[str, bytes]:
-        return ",".join(map(str, ids)), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
-
-    def unit(self, unit: str) -> tuple[str, bytes]:
-        ids = self.lexicon.get(unit.encode())
-        if ids is None:
-            ids = [i for piece in pattern().findall(unit) for i in self.vocabulary.merge(piece.encode())]
-        return self._out(ids)
-
-    def _regular(self, text: str) -> list[tuple[str, bytes]]:
-        feed = self._out(self.vocabulary.merge(b"\n"))
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(self.first[words[0]])
-            out.extend(map(self.later.__getitem__, words[1:]))
-            out.append(feed)
-        out.pop()
-        return out
-
-    def _any(self, text: str) -> list[tuple[str, bytes]]:
+        self.first, self.later = _Memo(), _Memo()
+        self.feed = self._join(vocabulary.merge(b"\n"))
+
+    @staticmethod
+    def _join(ids: list[int]) -> str:
+        return ",".join(map(str, ids))
+
+    def _ids_of(self, units: list[str]) -> list[list[int]]:
+        """The ids of each unit: by the lexicon, or else by its pieces' merges."""
+        raw = [u.encode() for u in units]
+        found = self.lexicon.get_many(raw)
+        rest = [i for i, x in enumerate(found) if x is None]
+        whole = [i for i in rest if units[i][1:].isalpha() and (units[i][0] == " " or units[i][0].isalpha())]
+        for i, ids in zip(whole, self.vocabulary.merge_many([raw[i] for i in whole])):
+            found[i] = ids
+        cut = [(i, [x.encode() for x in pattern().findall(units[i])]) for i in rest if found[i] is None]
+        merged = iter(self.vocabulary.merge_many([x for _, p in cut for x in p]))
+        for i, p in cut:
+            found[i] = [t for _ in p for t in next(merged)]
+        return found
+
+    def _learn(self, memo: _Memo, prefix: str, words: set[str]) -> None:
+        new = [w for w in memo.missing(words) if w and not _WHITE.search(w)]
+        memo.young.update(zip(new, map(self._join, self._ids_of([prefix + w for w in new]))))
+
+    def _any(self, text: str) -> list[int]:
         find, at, out = pattern().findall, 0, []
         for m in self.split.finditer(text) if self.split else ():
-            out.extend(map(self.unit, find(text[at : m.start()])))
-            out.append(self._out([self.vocabulary.special[m[0]]]))
+            out += [i for ids in self._ids_of(find(text[at : m.start()])) for i in ids]
+            out.append(self.vocabulary.special[m[0]])
             at = m.end()
-        out.extend(map(self.unit, find(text[at:] if at else text)))
+        return out + [i for ids in self._ids_of(find(text[at:])) for i in ids]
+
+    def encode_many(self, texts: list[str]) -> list[str]:
+        """All ids of each text joined by commas; special tokens in the text are their own ids, as the tokenizers library has it."""
+        cut = [None if not t or (self.split and self.split.search(t)) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        heads: set[str] = set()
+        words: set[str] = set()
+        for lines in cut:
+            for line in lines or ():
+                heads.add(line[0])
+                words.update(line)
+        self._learn(self.first, "", heads)
+        self._learn(self.later, " ", words)
+        first, later, feed = self.first.young, self.later.young, "," + self.feed + ","
+        out = []
+        for text, lines in zip(texts, cut):
+            try:
+                if lines is None:
+                    raise KeyError
+                out.append(feed.join([",".join([first[line[0]], *map(later.__getitem__, line[1:])]) for line in lines]))
+            except KeyError:  # white space of other kinds, or special tokens
+                out.append(self._join(self._any(text)) if text else "")
         return out
 
-    def encode(self, text: str) -> tuple[str, bytes]:
-        """All ids joined by commas, and the bytes they decode to; special tokens in the text are their own ids, as the tokenizers library has it."""
-        if not text:
-            return "", b""
-        try:
-            parts = self._any(text) if self.split and self.split.search(text) else self._regular(text)
-        except _Irregular:
-            parts = self._any(text)
-        ids, raw = zip(*parts)
-        return ",".join(ids), b"".join(raw)
+    def decode(self, ids: str) -> str:
+        """The text of ids joined by commas."""
+        if not ids:
+            return ""
+        return b"".join(map(self.bytes_of_text.__getitem__, ids.split(","))).decode("utf-8", "replace")
 
+    @property
+    def bytes_of_text(self) -> dict[str, bytes]:
+        if not hasattr(self, "_bytes_of_text"):
+            self._bytes_of_text = {str(i): b for i, b in self.vocabulary.bytes_of.items()}
+        return self._bytes_of_text
 
-def count_words(docs: DataFrame, limit: int = 200_000) -> DataFrame:
+
+def count_words(docs: DataFrame, limit: int = 500_000) -> DataFrame:
     """word, n over all texts: the words after a blank, summed in the workers and again by word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +456,7 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
     `decoded`.  A null text is an empty one: no tokens.  One row for each input row; ids equal those of
     the tokenizers library for the same vocabulary without added special tokens.
     """
+    C.bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     vocabulary = Vocabulary(vocabulary_path)
     compiled = compile_lexicon({w.encode(): [i for piece in pattern().findall(w) for i in vocabulary.merge(piece.encode())] for w in frequent_words(docs, lexicon_words)})
@@ -343,11 +465,17 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(digest, shipped)
+        gc.disable()  # lists of words by the million, none in a cycle
+        try:
+            yield from encode_batches(batches, encoder)
+        finally:
+            gc.enable()
+
+    def encode_batches(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
         for batch in C.small_batches(batches, "text"):
             n, ids, texts, a, b = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                joined, raw = encoder.encode(text or "")
-                decoded = raw.decode("utf-8", "replace")
+            for joined in encoder.encode_many([t or "" for t in batch.column(1).to_pylist()]):
+                decoded = encoder.decode(joined)
                 n.append(joined.count(",") + 1 if joined else 0)
                 a.append(hashlib.sha256(joined.encode()).hexdigest())
                 b.append(hashlib.sha256(decoded.encode()).hexdigest())
