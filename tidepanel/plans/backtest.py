@@ -32,6 +32,7 @@ def weight_nav(panel: DataFrame, targets: DataFrame, buy_cost: float = 0.0008, s
     Each row carries its code's last execution along the code's own window, so the panel keeps the
     partitioning of its factors, and only the few rows that are held or bought go to their dates.
     """
+    targets = targets.persist()  # a few rows for each execution day, read twice
     execs = F.broadcast(targets.select("t_idx").distinct().withColumn("is_exec", F.lit(True)))  # no more rows than dates
     rows = panel.select("code", "date", "t_idx", "open_ff").join(execs, "t_idx", "left").join(targets, ["t_idx", "code"], "left")
     mark = F.when(F.col("is_exec"), F.struct(F.col("t_idx").alias("e"), F.coalesce("weight", F.lit(0.0)).alias("w"), F.col("open_ff").alias("base")))
@@ -83,6 +84,7 @@ def long_short_returns(panel: DataFrame, legs: DataFrame, fee: float = 0.0, long
 
     legs: t_idx of the execution day, code, side, weight (each leg to 1); legs hold until the next execution day.
     """
+    legs = legs.persist()  # a few rows for each execution day, read twice
     execs = legs.select("t_idx").distinct().withColumn("next", F.lead("t_idx").over(Window.orderBy("t_idx")))
     held = legs.join(execs, "t_idx").select(F.col("t_idx").alias("e"), "next", "code", "side", "weight")
     rows = held.join(panel.select("code", "t_idx", "o2o"), "code").where((F.col("t_idx") > F.col("e")) & (F.col("t_idx") <= F.coalesce("next", F.lit(1 << 30))))
