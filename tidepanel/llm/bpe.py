@@ -332,6 +332,7 @@ class Encoder:
         special = vocabulary.special
         self.split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.first, self.later = _Memo(), _Memo()
+        self.odd: set[str] = set()
         self.feed = self._join(vocabulary.merge(b"\n"))
 
     @staticmethod
@@ -354,7 +355,11 @@ class Encoder:
 
     def _learn(self, memo: _Memo, prefix: str, words: set[str]) -> None:
         new = [w for w in memo.missing(words) if w and not _WHITE.search(w)]
-        memo.young.update(zip(new, map(self._join, self._ids_of([prefix + w for w in new]))))
+        found = self._ids_of([prefix + w for w in new])
+        memo.young.update(zip(new, map(self._join, found)))
+        # Every word's ids are decoded once; a text of words that decode to themselves decodes to itself.
+        raw = self.vocabulary.bytes_of
+        self.odd.update(w for w, ids in zip(new, found) if b"".join([raw[i] for i in ids]) != (prefix + w).encode())
 
     def _any(self, text: str) -> list[int]:
         find, at, out = pattern().findall, 0, []
@@ -364,8 +369,8 @@ class Encoder:
             at = m.end()
         return out + [i for ids in self._ids_of(find(text[at:])) for i in ids]
 
-    def encode_many(self, texts: list[str]) -> list[str]:
-        """All ids of each text joined by commas; special tokens in the text are their own ids, as the tokenizers library has it."""
+    def encode_many(self, texts: list[str]) -> list[tuple[str, str]]:
+        """All ids of each text joined by commas, and the text they decode to; special tokens in the text are their own ids, as the tokenizers library has it."""
         cut = [None if not t or (self.split and self.split.search(t)) else [line.split(" ") for line in t.split("\n")] for t in texts]
         heads: set[str] = set()
         words: set[str] = set()
@@ -381,9 +386,12 @@ class Encoder:
             try:
                 if lines is None:
                     raise KeyError
-                out.append(feed.join([",".join([first[line[0]], *map(later.__getitem__, line[1:])]) for line in lines]))
+                ids = feed.join([",".join([first[line[0]], *map(later.__getitem__, line[1:])]) for line in lines])
+                whole = not self.odd or all(self.odd.isdisjoint(line) for line in lines)
+                out.append((ids, text if whole else self.decode(ids)))
             except KeyError:  # white space of other kinds, or special tokens
-                out.append(self._join(self._any(text)) if text else "")
+                ids = self._join(self._any(text)) if text else ""
+                out.append((ids, self.decode(ids)))
         return out
 
     def decode(self, ids: str) -> str:
@@ -404,6 +412,7 @@ def count_words(docs: DataFrame, limit: int = 500_000) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
+        gc.disable()
         for batch in C.small_batches(batches, "text", 1 << 20):
             for text in batch.column(0).to_pylist():
                 for line in text.split("\n") if text else ():
@@ -413,6 +422,7 @@ def count_words(docs: DataFrame, limit: int = 500_000) -> DataFrame:
                 held.clear()
         if held:
             yield C.record(COUNTS, word=list(held), n=list(held.values()))
+        gc.enable()
 
     return docs.select(F.col("`text`").alias("text")).mapInArrow(count, COUNTS).groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -474,8 +484,7 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
     def encode_batches(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
         for batch in C.small_batches(batches, "text"):
             n, ids, texts, a, b = [], [], [], [], []
-            for joined in encoder.encode_many([t or "" for t in batch.column(1).to_pylist()]):
-                decoded = encoder.decode(joined)
+            for joined, decoded in encoder.encode_many([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(joined.count(",") + 1 if joined else 0)
                 a.append(hashlib.sha256(joined.encode()).hexdigest())
                 b.append(hashlib.sha256(decoded.encode()).hexdigest())
