@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LEXICON_WORDS = 1 << 17
-MEMO_WORDS = 450_000
+MEMO_WORDS = 900_000
 COUNTS = "word string, n long"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
 #: The characters with the Unicode property White_Space.
