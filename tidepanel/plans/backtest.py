@@ -2,7 +2,8 @@
 
 A scenario is a row of parameters.  Scenarios run side by side, one task each; within one, days follow
 each other, as cash depends on what came before.  A scenario's group is one panel's rows between its
-dates: a strategy's universe, not the whole market's history, is what one task has to hold.
+dates: one task holds the codes that are ever a target where targets are given, and every code where an
+event strategy chooses for itself.
 """
 
 from __future__ import annotations
@@ -127,6 +128,11 @@ def _quotes(rows: dict[str, dict]) -> dict[str, Quote]:
     return {c: Quote(*[_clean(r.get(k)) for k in ("open", "close", "am20", "turnover")], bool(r.get("limit_up")), bool(r.get("limit_down")), _clean(r.get("stop"))) for c, r in rows.items()}
 
 
+def _held(book: Book) -> dict[str, float]:
+    """Positions as floats: Arrow rejects whole numbers that a double can't hold."""
+    return {c: float(n) for c, n in book.positions.items()}
+
+
 def _profile(params: dict) -> Profile:
     return profile(params.get("asset", "stock"), **params.get("costs", {}))
 
@@ -155,7 +161,7 @@ def cash_backtest(pdf: pd.DataFrame) -> pd.DataFrame:
             cut = next((_clean(r.get("cut")) for r in rows.values() if _clean(r.get("cut")) is not None), None)
             book.rebalance(ordered, book.value(last.get), p, quotes, cut, params.get("max_weight"))
         last |= {c: q.close for c, q in quotes.items() if q.close and q.close > 0}
-        out.append((pdf["scenario_id"].iloc[0], day, book.value(last.get) / capital, book.cash, dict(book.positions), len(book.fills) - n0, len(book.rejections) - r0))
+        out.append((pdf["scenario_id"].iloc[0], day, book.value(last.get) / capital, book.cash, _held(book), len(book.fills) - n0, len(book.rejections) - r0))
         before = quotes
     return pd.DataFrame(out, columns=["scenario_id", "date", "nav", "cash", "positions", "n_fills", "n_rejected"])
 
@@ -280,7 +286,7 @@ def event_backtest(pdf: pd.DataFrame, strategy: type[EventStrategy] | None = Non
             if q.close and q.close > 0:
                 last[c] = q.close
                 history.setdefault(c, []).append(q.close)
-        out.append((pdf["scenario_id"].iloc[0], day, book.value(last.get) / capital, book.cash, dict(book.positions), len(book.fills) - n0, len(book.rejections) - r0))
+        out.append((pdf["scenario_id"].iloc[0], day, book.value(last.get) / capital, book.cash, _held(book), len(book.fills) - n0, len(book.rejections) - r0))
         before = quotes
     return pd.DataFrame(out, columns=["scenario_id", "date", "nav", "cash", "positions", "n_fills", "n_rejected"])
 

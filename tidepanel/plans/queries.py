@@ -774,11 +774,12 @@ def event_sessions(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- simulations: rows only, tested against plain loops
-def quotes(spark: SparkSession, sf_dir: str, most: int = 100) -> DataFrame:
-    """The quotes of a strategy's universe (the `most` codes with the largest amounts) with monthly targets, stops and cuts."""
+def quotes(spark: SparkSession, sf_dir: str, held: bool = False) -> DataFrame:
+    """The quotes of every code with monthly targets, stops and cuts; with `held` only of codes that are ever a target, as cash and fund runs hold no others."""
     panel, chosen = targets(spark, sf_dir)
-    universe = panel.groupBy("code").agg(F.sum("amount").alias("a")).orderBy(F.desc_nulls_last("a"), "code").limit(most)
-    rows = factors.chandelier(factors.limit_flags(panel), 5, 3.0, 3).join(F.broadcast(universe.select("code")), "code", "left_semi")
+    rows = factors.chandelier(factors.limit_flags(panel), 5, 3.0, 3)
+    if held:  # one code more, so that days stay where there are no targets at all
+        rows = rows.join(chosen.select("code").union(panel.select(F.min("code"))).distinct(), "code", "left_semi")
     cut = panel.groupBy((F.col("t_idx") + 1).alias("t_idx")).agg(F.percentile("am20", F.lit(0.3)).alias("cut"))
     rows = rows.join(chosen.withColumnRenamed("weight", "target"), ["t_idx", "code"], "left").join(F.broadcast(cut), "t_idx", "left")
     return rows.select("t_idx", "date", "code", "open", "close", "am20", "turnover", F.lit(False).alias("limit_up"), F.lit(False).alias("limit_down"), "stop", "target", "cut")
@@ -790,23 +791,23 @@ def _nav_rows(df: DataFrame) -> DataFrame:
 
 @register("cash_backtest")
 def cash_backtest(spark, sf_dir):
-    return _nav_rows(backtest.run_scenarios(quotes(spark, sf_dir), sweeps.scenario_table(spark, {"stock": {"capital": 1e7}, "etf": {"capital": 1e7, "asset": "etf", "stops": True}})))
+    return _nav_rows(backtest.run_scenarios(quotes(spark, sf_dir, True), sweeps.scenario_table(spark, {"stock": {"capital": 1e7}, "etf": {"capital": 1e7, "asset": "etf", "stops": True}})))
 
 
 @register("fund_backtest")
 def fund_backtest(spark, sf_dir):
-    return _nav_rows(backtest.run_scenarios(quotes(spark, sf_dir), sweeps.scenario_table(spark, {"fund": {"capital": 1e6}}), backtest.fund_backtest))
+    return _nav_rows(backtest.run_scenarios(quotes(spark, sf_dir, True), sweeps.scenario_table(spark, {"fund": {"capital": 1e6}}), backtest.fund_backtest))
 
 
 @register("event_backtest")
 def event_backtest(spark, sf_dir):
     scenarios = {"cross": {"strategy": "golden_cross", "short": 3, "long": 8, "capital": 1e7}, "momentum": {"strategy": "long_short_momentum", "window": 8, "capital": 1e7, "short_rate": 0.086}, "parity": {"strategy": "risk_parity", "window": 10, "capital": 1e7}}
-    return _nav_rows(backtest.run_scenarios(quotes(spark, sf_dir, 30), sweeps.scenario_table(spark, scenarios), backtest.event_backtest))
+    return _nav_rows(backtest.run_scenarios(quotes(spark, sf_dir), sweeps.scenario_table(spark, scenarios), backtest.event_backtest))
 
 
 @register("walk_forward")
 def walk_forward(spark, sf_dir):
-    rows = quotes(spark, sf_dir, 20)
+    rows = quotes(spark, sf_dir)
     days = [r.date for r in panels.calendar(rows.select("date")).orderBy("date").collect()]
     found = sweeps.sweep(rows, sweeps.cross_grid([3, 5], [8, 13], capital=1e7), sweeps.split_windows(days, 4))
     return rounded(sweeps.summary(found, ["scenario_id"]), "mean_total", "mean_sharpe", digits=6)
