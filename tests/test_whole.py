@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 from tidepanel.operators.execution import Book
+from tidepanel.operators.portfolio import weights_from_returns
 from tidepanel.plans import backtest
 from tidepanel.plans import queries as Q
 
@@ -130,3 +131,13 @@ def test_simulations_cover_every_code(spark, wide):
         assert got == {(r.scenario_id, r.date): (pytest.approx(r.nav, abs=1e-5), r.n_fills) for r in want.itertuples()}
         assert want.n_fills.sum() > 0
     assert all(isinstance(n, float) for n in backtest._held(Book(0.0, {"a": 2**53 + 1})).values())  # Arrow takes no such whole number as a double
+
+
+def test_risk_parity_weighs_every_code(spark, wide):
+    """Every code has a weight in every year, equal to the optimiser's over the whole universe."""
+    got = {(r.year, r.code): r.weight for r in Q.risk_parity(spark, wide).collect()}
+    rows = Q.dense_week(spark, wide).select("date", "code", "close").toPandas().pivot(index="date", columns="code", values="close").ffill()
+    rets, want = rows.pct_change(fill_method=None).fillna(0.0), {}
+    for year, x in rets.groupby([d.year for d in rets.index]):
+        want |= {(year, c): w for c, w in weights_from_returns(x.to_numpy(), list(x.columns)).items()}
+    assert len(got) == 240 and got == {k: pytest.approx(w, abs=2e-6) for k, w in want.items()}

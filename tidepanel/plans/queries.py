@@ -818,8 +818,6 @@ def risk_parity(spark, sf_dir):
     from ..operators.portfolio import optimised_weights
 
     rows = dense_week(spark, sf_dir).withColumn("ret", F.coalesce(change(ffill("close")), F.lit(0.0)))
-    top = rows.groupBy("code").agg(F.sum("amount").alias("a")).orderBy(F.desc("a"), "code").limit(20)
-    rows = rows.join(F.broadcast(top.select("code")), "code", "left_semi")
     return rounded(optimised_weights(rows.select(F.year("date").alias("year"), "date", "code", "ret"), "year", "risk_parity"), "weight", digits=6)
 
 
