@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidepanel.operators.execution import Book
+from tidepanel.operators.execution import Book, Quote
 from tidepanel.operators.portfolio import weights_from_returns
 from tidepanel.plans import backtest
 from tidepanel.plans import queries as Q
@@ -141,3 +141,21 @@ def test_risk_parity_weighs_every_code(spark, wide):
     for year, x in rets.groupby([d.year for d in rets.index]):
         want |= {(year, c): w for c, w in weights_from_returns(x.to_numpy(), list(x.columns)).items()}
     assert len(got) == 240 and got == {k: pytest.approx(w, abs=2e-6) for k, w in want.items()}
+
+
+def test_event_strategies_take_the_strongest():
+    """More crosses than slots go to the strongest, and risk parity takes the codes of largest am20, whatever their names."""
+    x = {"a": [3.0, 2.0, 1.0, 3.0], "b": [3.0, 2.0, 1.0, 9.0], "c": [3.0, 2.0, 1.0, 5.0], "d": [3.0, 2.0, 1.0, 99.0]}
+    quotes = {c: Quote(close=v[-1], am20=m) for (c, v), m in zip(x.items(), (1.0, 4.0, None, 3.0))}
+    quotes["d"].close = None  # not traded on the signal day
+    cross, ctx = backtest.GoldenCross(), backtest.Context(Book(1.0), x, quotes)
+    cross.init({"short": 1, "long": 3, "top_n": 2})
+    cross.on_bar(ctx, 1)
+    assert ctx.orders == {"b": ("percent", 0.5, None), "c": ("percent", 0.5, None)}
+    ctx = backtest.Context(Book(1.0, {"z": 100}), x, quotes)
+    cross.on_bar(ctx, 1)
+    assert set(ctx.orders) == {"b"}
+    parity, ctx = backtest.RiskParity(), backtest.Context(Book(1.0), x, {**quotes, "d": Quote(close=99.0, am20=3.0)})
+    parity.init({"window": 3, "most": 2, "every": 1})
+    parity.on_bar(ctx, 1)
+    assert set(ctx.orders) == {"b", "d"}

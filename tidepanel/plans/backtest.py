@@ -207,10 +207,11 @@ class EventStrategy:
 
 
 class GoldenCross(EventStrategy):
-    """Hold, in equal parts, at most top_n codes whose short average lies above the long one; enter on a cross."""
+    """Hold, in equal parts, at most top_n codes whose short average lies above the long one; enter on a cross, the strongest of the day first."""
 
     def on_bar(self, ctx: Context, t: int) -> None:
         a, b, k = self.params.get("short", 5), self.params.get("long", 20), self.params.get("top_n", 3)
+        crosses = []
         for code in ctx.codes():
             x = ctx.closes(code, b + 1)
             if len(x) < b + 1:
@@ -218,12 +219,14 @@ class GoldenCross(EventStrategy):
             now, was = sum(x[-a:]) / a - sum(x[-b:]) / b, sum(x[-a - 1 : -1]) / a - sum(x[:-1]) / b
             if ctx.position(code) and now < 0 <= was:
                 ctx.target_percent(code, 0.0)
-            elif not ctx.position(code) and was <= 0 < now and len(ctx.book.positions) + sum(1 for o in ctx.orders.values() if o[1] > 0) < k:
-                ctx.target_percent(code, 1.0 / k)
+            elif not ctx.position(code) and was <= 0 < now and ctx.is_tradable(code):
+                crosses.append((now, code))
+        for _, code in sorted(crosses, reverse=True)[: max(0, k - len(ctx.book.positions))]:
+            ctx.target_percent(code, 1.0 / k)
 
 
 class RiskParity(EventStrategy):
-    """Every `every` days, weights of equal risk over the last `window` returns."""
+    """Every `every` days, weights of equal risk over the last `window` returns, for the `most` codes of largest am20 on the signal day."""
 
     def on_bar(self, ctx: Context, t: int) -> None:
         import numpy as np
@@ -233,7 +236,8 @@ class RiskParity(EventStrategy):
         n = self.params.get("window", 20)
         if t % self.params.get("every", 20):
             return
-        codes = [c for c in ctx.codes() if len(ctx.closes(c, n + 1)) == n + 1 and ctx.is_tradable(c)][: self.params.get("most", 30)]
+        codes = [c for c in ctx.codes() if len(ctx.closes(c, n + 1)) == n + 1 and ctx.is_tradable(c)]
+        codes = sorted(codes, key=lambda c: (-(ctx.quotes[c].am20 or 0.0), c))[: self.params.get("most", 30)]
         if len(codes) < 2:
             return
         x = np.diff(np.log(np.array([ctx.closes(c, n + 1) for c in codes])), axis=1).T
