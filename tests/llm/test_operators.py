@@ -286,6 +286,19 @@ def test_scores(spark, docs, empty):
     assert all(math.isfinite(r.score) for r in hpylm.score(docs, F.lit(True)).collect())
 
 
+def test_predictive_probabilities_sum_to_one(spark):
+    """Over all texts of the words and one unknown: with M[y, x] = P(y x) / P(y), the sum is P() + sum over x, y of P(x) (1 - M)^-1[x, y]."""
+    rng = np.random.default_rng(3)
+    train = [(i, " ".join("abcde"[min(4, k)] for k in rng.geometric(0.5, size=200) - 1)) for i in range(60)]
+    letters = [*"abcde", "z"]
+    asked = {1000 + i: x for i, x in enumerate(["", *letters, *(f"{y} {x}" for y in letters for x in letters)])}
+    rows = spark.createDataFrame([*train, *asked.items()], "doc_id long, text string").repartition(2)
+    p = {asked[r.doc_id]: 10**r.score for r in hpylm.score(rows, F.col("doc_id") >= 1000).collect() if r.held_out}
+    m = np.array([[p[f"{y} {x}"] / p[y] for x in letters] for y in letters])
+    total = p[""] + np.array([p[x] for x in letters]) @ np.linalg.solve(np.eye(6) - m, np.ones(6))
+    assert total == pytest.approx(1.0, abs=1e-4)
+
+
 def test_gibbs_draws_follow_the_conditional():
     """Table counts of one dish against their exact probabilities, from all seatings of five customers."""
     d, s, p, rest, c = 0.4, 1.2, 0.3, 2.0, 5

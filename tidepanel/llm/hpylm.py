@@ -6,8 +6,9 @@ and whose own parent is uniform over the vocabulary and one unknown word.  Table
 Gibbs: a draw of each dish's number of tables given its customers, the other tables of its restaurant
 and the parent's predictive probability, by the exact conditional (generalised Stirling numbers) up to
 EXACT customers and by seating in blocks beyond.  Each sweep is one exchange: pair buckets send tables
-by word, the words' buckets seat the parent and send back what the next sweep needs.  Predictive
-probabilities are averaged over the last draws.
+by word, the words' buckets seat the parent and send back what the next sweep needs, and every bucket's
+own table counts travel along.  After a burn-in, predictive probabilities are averaged over DRAWS sweeps,
+each with the tables, totals and parent of that very sweep, so that those of a context sum to 1.
 
 Pairs are counted in buckets of (context, quarter of the words), so that the restaurant of the most common
 word is spread; counts of words and pairs cover all training documents.
@@ -137,26 +138,39 @@ def _read_pairs(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return ctx, C.widen(body[at : at + 6 * n], n), C.unpack_ints(body, at + 6 * n, n)[0]
 
 
+def _read_words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their tables in the parent's own restaurant, and a row of discounted tables and one of totals for each averaged draw."""
+    n = row["n"]
+    return C.widen(row["body"], n), np.frombuffer(row["body"], np.float32, n, 6 * n).astype(float), np.frombuffer(row["body"], np.float32, offset=10 * n).reshape(-1, n)
+
+
 def _parent(mass: np.ndarray, model: dict) -> np.ndarray:
     """The parent restaurant's predictive probabilities from the words' discounted tables."""
     return (mass + (model["s0"] + model["seated"] * model["own"]) / model["types"]) / (model["s0"] + model["tables"])
 
 
+def _read_tables(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The last tables of a bucket's pairs, and their sums over the averaged draws."""
+    t, at = C.unpack_ints(row["data"], 0, row["n"])
+    return t.astype(np.int64), C.unpack_ints(row["data"], at, row["n"])[0].astype(np.int64)
+
+
 class Seats:
-    """The pairs of a bucket that training texts have, their words, and what the words' buckets said of them."""
+    """The pairs of a bucket that training texts have, their words, their tables so far, and what the words' buckets said of them."""
 
-    def __init__(self, row: dict, answers: list[dict]):
+    def __init__(self, row: dict, own: dict | None, answers: list[dict]):
         self.ctx, self.word, self.c = _read_pairs(row["body"], row["n"])
         seen = self.c > 0
         self.at = np.flatnonzero(seen)
         self.ids, code = np.unique(np.concatenate((self.ctx[seen], self.word[seen])), return_inverse=True)
         self.u, self.w = code[: len(self.at)], code[len(self.at) :]
+        self.t, self.total = _read_tables(own) if own else (np.ones(len(self.at), dtype=np.int64), np.zeros(len(self.at), dtype=np.int64))
         self.mass, self.room = (np.concatenate([np.frombuffer(a["data"], np.float32, a["n"], 4 * i * a["n"]) for a in answers]).astype(float) if answers else np.zeros(len(self.ids)) for i in range(2))
 
-    def draw(self, t: np.ndarray, model: dict, rng: np.random.Generator) -> np.ndarray:
+    def draw(self, model: dict, rng: np.random.Generator) -> np.ndarray:
         """A draw of all tables, given those before."""
         parent = _parent(self.mass, model)
-        rest = np.maximum(self.room[self.u] - t, 0.0)
+        rest = np.maximum(self.room[self.u] - self.t, 0.0)
         return draw_tables(self.c[self.at], rest, parent[self.w], model["d"], model["s"], rng)
 
 
@@ -165,7 +179,7 @@ def score(docs: DataFrame, held, sweeps: int = 2, strength: float = 1.0, base_st
 
     docs: doc_id long, text string; other columns are ignored; held: a Boolean column, true for documents
     that training leaves out.  Tokens: runs of characters other than ASCII white space, A-Z in lower case,
-    then one end.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram)
+    then one end.  sweeps: those before the averaged ones, the first of which only seats.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram)
     and score.  A null or empty text is its end alone; repeated rows train again; without training texts
     every probability is uniform; an empty table gives no rows.  Word ids are 48-bit hashes.
     """
@@ -203,22 +217,24 @@ def score(docs: DataFrame, held, sweeps: int = 2, strength: float = 1.0, base_st
     seen = state.where("kind = 0").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     model = {"d": _discount(seen.ones, seen.twos), "s": strength, "d0": 0.5, "seated": 0.5, "s0": base_strength, "tables": 0.0, "own": 0.0, "types": 1.0}
 
-    def with_said(said: DataFrame | None, kinds: str) -> DataFrame:
+    def with_said(said: DataFrame | None, kinds: str, back: str = "kind in (0, 2)") -> DataFrame:
         own = state.where(kinds).select("bucket", F.when(F.col("kind") == 0, -2).otherwise(1 << 40).cast("long").alias("order"), "chunk", "n", F.col("body").alias("data"))
         if said is not None:
-            own = own.unionByName(said.where("kind = 0").select(F.col("chunk").alias("bucket"), F.col("bucket").alias("order"), F.lit(0).cast("long").alias("chunk"), "n", F.col("body").alias("data")))
+            own = own.unionByName(said.where(back).select(F.col("chunk").alias("bucket"), F.when(F.col("kind") == 2, -1).otherwise(F.col("bucket")).alias("order"), F.lit(0).cast("long").alias("chunk"), "n", F.col("body").alias("data")))
         return C.by_bucket(own, tasks, "bucket", "order", "chunk")
 
     def seats(rows: list[dict]) -> Seats:
-        return Seats({"body": rows[0]["data"], "n": rows[0]["n"]}, [r for r in rows[1:] if r["order"] < 1 << 40])
+        own = next((r for r in rows if r["order"] == -1), None)
+        return Seats({"body": rows[0]["data"], "n": rows[0]["n"]}, own, [r for r in rows if r["order"] >= 0])
 
     def sweep(step: int, model: dict):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bucket, rows in C.groups(batches, "bucket"):
                 s = seats(rows)
-                t = np.ones(len(s.at), dtype=np.int64)
-                if step:
-                    t = s.draw(t, model, np.random.default_rng([seed, step, bucket]))
+                t = s.draw(model, np.random.default_rng([seed, step, bucket])) if step else s.t
+                total = s.total + t if step >= burn_in else s.total
+                # order -1 of its own bucket: the words' bucket of the same number hands these back
+                yield C.record(PARTS, bucket=[bucket], chunk=[-1], n=[len(t)], body=[C.pack_ints(t) + C.pack_ints(total)])
                 sums = [np.bincount(at, weights=t, minlength=len(s.ids)).astype(np.int64) for at in (s.w, s.u)]
                 mine = _ranges(_id_bucket(s.ids, buckets), buckets)
                 yield C.record(PARTS, bucket=[b for b, _, _ in mine], chunk=[bucket] * len(mine), n=[y - x for _, x, y in mine], body=[C.narrow(s.ids[x:y]) + b"".join(C.pack_ints(v[x:y]) for v in sums) for _, x, y in mine])
@@ -228,6 +244,12 @@ def score(docs: DataFrame, held, sweeps: int = 2, strength: float = 1.0, base_st
     def seat(step: int, model: dict):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bucket, rows in C.groups(batches, "bucket"):
+                heads = {r["chunk"]: r for r in rows if r["chunk"] < 0}
+                if -1 in heads:
+                    yield C.record(WORDS, kind=[2], bucket=[bucket], chunk=[bucket], n=[heads[-1]["n"]], tables=[0.0], own=[0.0], ones=[0.0], twos=[0.0], body=[heads[-1]["body"]])
+                rows = rows[len(heads) :]
+                if not rows:
+                    continue
                 ids = np.concatenate([C.widen(r["body"], r["n"]) for r in rows])
                 parts: tuple[list, list] = ([], [])
                 for r in rows:
@@ -238,38 +260,41 @@ def score(docs: DataFrame, held, sweeps: int = 2, strength: float = 1.0, base_st
                 words, back = np.unique(ids, return_inverse=True)
                 tables, room = (np.bincount(back, weights=np.concatenate(x), minlength=len(words)) for x in parts)
                 rng = np.random.default_rng([seed, 1000 + step, bucket])
-                own = draw_tables(tables.astype(np.int64), np.full(len(words), max(model["own"] - 1, 0.0)), np.full(len(words), 1.0 / model["types"]), model["d0"], model["s0"], rng).astype(float)
+                before, drawn = _read_words(heads[-2])[1:] if -2 in heads else (np.zeros(len(words)), np.zeros((0, len(words)), dtype=np.float32))  # of the same words, as pairs stay
+                own = draw_tables(tables.astype(np.int64), np.maximum(model["own"] - before, 0.0), np.full(len(words), 1.0 / model["types"]), model["d0"], model["s0"], rng).astype(float)
                 columns = [np.maximum(tables - model["d0"] * own, 0.0).astype(np.float32), room.astype(np.float32)]
                 at = 0
                 for r in rows:
                     mine = back[at : at + r["n"]]
                     at += r["n"]
                     yield C.record(WORDS, kind=[0], bucket=[bucket], chunk=[r["chunk"]], n=[r["n"]], tables=[0.0], own=[0.0], ones=[0.0], twos=[0.0], body=[b"".join(v[mine].tobytes() for v in columns)])
-                yield C.record(WORDS, kind=[1], bucket=[bucket], chunk=[-1], n=[len(words)], tables=[float(tables.sum())], own=[float(own.sum())], ones=[float((tables == 1).sum())], twos=[float((tables == 2).sum())], body=[C.narrow(words) + b"".join(v.tobytes() for v in columns)])
+                drawn = np.vstack((drawn, *columns)) if step >= burn_in else drawn
+                yield C.record(WORDS, kind=[1], bucket=[bucket], chunk=[-1], n=[len(words)], tables=[float(tables.sum())], own=[float(own.sum())], ones=[float((tables == 1).sum())], twos=[float((tables == 2).sum())], body=[C.narrow(words) + own.astype(np.float32).tobytes() + drawn.tobytes()])
 
         return run
 
     said: DataFrame | None = None
-    for step in range(sweeps):
+    burn_in, models = max(1, sweeps), []
+    for step in range(burn_in + DRAWS):
         parts = with_said(said, "kind = 0").mapInArrow(sweep(step, dict(model)), PARTS)
+        if said is not None:
+            parts = parts.unionByName(said.where("kind = 1").select("bucket", F.lit(-2).cast("long").alias("chunk"), "n", "body"))
         before, said = said, C.materialise(C.by_bucket(parts, tasks, "bucket", "chunk").mapInArrow(seat(step, dict(model)), WORDS), "seated")
         if before is not None:
             C.discard(before)
         r = said.where("kind = 1").agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in ("tables", "own", "ones", "twos")], F.coalesce(F.sum(F.col("n").cast("double")), F.lit(0.0)).alias("types")).first()
-        model |= {"tables": r.tables, "own": r.own, "types": r.types + 1.0, "seated": model["d0"]}
+        model |= {"tables": r.tables, "own": r.own, "types": max(r.types, 1.0), "seated": model["d0"]}  # the start, which is no word, counts for the unknown one
         if step == 0:
             model["d0"] = _discount(r.ones, r.twos)
+        if step >= burn_in:
+            models.append(dict(model))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in C.groups(batches, "bucket"):
-            s = seats(rows)
-            rng = np.random.default_rng([seed, 2000, bucket])
-            t, total = np.ones(len(s.at), dtype=np.int64), np.zeros(len(s.at))
-            for _ in range(DRAWS):
-                t = s.draw(t, model, rng)
-                total += t
-            kept = np.zeros(len(s.c), dtype=np.float32)
-            kept[s.at] = s.c[s.at] - model["d"] * total / DRAWS
+            c = _read_pairs(rows[0]["data"], rows[0]["n"])[2]
+            at = np.flatnonzero(c > 0)
+            kept = np.zeros(len(c), dtype=np.float32)
+            kept[at] = c[at] - model["d"] * _read_tables(rows[1])[1] / DRAWS
             for r in rows:
                 if r["order"] == 1 << 40:
                     at = np.cumsum(C.unpack_ints(r["data"], 0, r["n"])[0])
@@ -285,16 +310,14 @@ def score(docs: DataFrame, held, sweeps: int = 2, strength: float = 1.0, base_st
 
     def word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in C.groups(batches, "bucket"):
-            known, columns = np.zeros(0, dtype=np.uint64), np.zeros((2, 0), dtype=np.float32)
+            known, columns = np.zeros(0, dtype=np.uint64), np.zeros((2 * DRAWS, 0), dtype=np.float32)
             if rows[0]["chunk"] < 0:
-                head = rows.pop(0)
-                known = C.widen(head["body"], head["n"])
-                columns = np.frombuffer(head["body"], np.float32, 2 * head["n"], 6 * head["n"]).reshape(2, -1)
+                known, _, columns = _read_words(rows.pop(0))
             if not rows:
                 continue
             ids, back = np.unique(np.concatenate([C.widen(r["body"], r["n"]) for r in rows]), return_inverse=True)
             c = np.bincount(back, weights=np.concatenate([C.unpack_ints(r["body"], 6 * r["n"], r["n"])[0] for r in rows]), minlength=len(ids)).astype(np.int64)
-            full = np.zeros((2, len(ids)), dtype=np.float32)
+            full = np.zeros((2 * DRAWS, len(ids)), dtype=np.float32)
             if len(known):
                 at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 hit = known[at] == ids
@@ -303,9 +326,9 @@ def score(docs: DataFrame, held, sweeps: int = 2, strength: float = 1.0, base_st
             for i, r in enumerate(rows):
                 mine = back[at : at + r["n"]]
                 at += r["n"]
-                yield C.record(ANSWER, chunk=[r["chunk"]], bucket=[bucket + buckets], n=[r["n"]], tokens=[int(c.sum()) if i == 0 else 0], types=[int((c > 0).sum()) if i == 0 else 0], data=[full[0, mine].tobytes() + full[1, mine].tobytes() + C.pack_ints(c[mine])])
+                yield C.record(ANSWER, chunk=[r["chunk"]], bucket=[bucket + buckets], n=[r["n"]], tokens=[int(c.sum()) if i == 0 else 0], types=[int((c > 0).sum()) if i == 0 else 0], data=[full[:, mine].tobytes() + C.pack_ints(c[mine])])
 
-    pair_answers = C.materialise(with_said(said, "kind in (0, 1)").mapInArrow(settle, ANSWER), "pairs")
+    pair_answers = C.materialise(with_said(said, "kind in (0, 1)", "kind = 2").mapInArrow(settle, ANSWER), "pairs")
     C.discard(state)
     both = table.select("chunk", "body").mapInArrow(word_keys, ROW).unionByName(said.where("kind = 1").select("bucket", "chunk", "n", "body"))
     answers = C.materialise(C.by_bucket(both, tasks, "bucket", "chunk").mapInArrow(word_answers, ANSWER), "words").unionByName(pair_answers)
@@ -319,13 +342,16 @@ def score(docs: DataFrame, held, sweeps: int = 2, strength: float = 1.0, base_st
             t = Tokens(body)
             kept = np.concatenate([np.frombuffer(r["data"], np.float32) for r in rows[1:] if r["bucket"] < buckets]).astype(np.float64)
             said = [r for r in rows[1:] if r["bucket"] >= buckets]
-            mass, tables = (np.concatenate([np.frombuffer(r["data"], np.float32, r["n"], 4 * i * r["n"]) for r in said]).astype(float) for i in range(2))
-            c = np.concatenate([C.unpack_ints(r["data"], 8 * r["n"], r["n"])[0] for r in said]).astype(float)
+            column = lambda i: np.concatenate([np.frombuffer(r["data"], np.float32, r["n"], 4 * i * r["n"]) for r in said]).astype(float)
+            c = np.concatenate([C.unpack_ints(r["data"], 8 * DRAWS * r["n"], r["n"])[0] for r in said]).astype(float)
             base = np.log10((c + 1.0) / (n_train + types + 1.0))[t.tok]
             # A word's restaurant has as many customers as the word has training tokens; that of starts (the second id) as many as there are ends (the first).
             customers = model["s"] + c
             customers[1] = model["s"] + c[0]
-            p = np.log10((kept[t.pair] + (model["s"] + model["d"] * tables)[t.ctx] * _parent(mass, model)[t.tok]) / customers[t.ctx])
+            p = kept[t.pair]
+            for i, m in enumerate(models):
+                p += (m["s"] + m["d"] * column(2 * i + 1))[t.ctx] * _parent(column(2 * i), m)[t.tok] / DRAWS
+            p = np.log10(p / customers[t.ctx])
             by_doc = lambda x: np.add.reduceat(x, t.first[:-1]) if len(x) else x
             k = len(t.held)
             yield C.record(RESULT, doc_id=body.column("doc_id").to_pylist(), held_out=t.held.tolist(), n_tokens=np.diff(t.first).tolist(), n_known=by_doc((c[t.tok] > 0).astype(np.int64)).tolist(), train_tokens=[n_train] * k, base_score=by_doc(base).tolist(), score=by_doc(p).tolist())
