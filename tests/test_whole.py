@@ -159,3 +159,10 @@ def test_event_strategies_take_the_strongest():
     parity.init({"window": 3, "most": 2, "every": 1})
     parity.on_bar(ctx, 1)
     assert set(ctx.orders) == {"b", "d"}
+
+
+def test_price_limits_act(spark, wide):
+    """Moves of the close by the board's limit (10 % here, less the slack) are flagged in the quotes."""
+    rows = Q.quotes(spark, wide).toPandas().sort_values(["code", "date"])
+    move = rows.groupby("code").close.pct_change(fill_method=None)
+    assert (rows.limit_up == (move >= 0.095)).all() and (rows.limit_down == (move <= -0.095)).all() and rows.limit_up.any() and rows.limit_down.any()

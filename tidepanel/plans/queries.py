@@ -782,7 +782,7 @@ def quotes(spark: SparkSession, sf_dir: str, held: bool = False) -> DataFrame:
         rows = rows.join(chosen.select("code").union(panel.select(F.min("code"))).distinct(), "code", "left_semi")
     cut = panel.groupBy((F.col("t_idx") + 1).alias("t_idx")).agg(F.percentile("am20", F.lit(0.3)).alias("cut"))
     rows = rows.join(chosen.withColumnRenamed("weight", "target"), ["t_idx", "code"], "left").join(F.broadcast(cut), "t_idx", "left")
-    return rows.select("t_idx", "date", "code", "open", "close", "am20", "turnover", F.lit(False).alias("limit_up"), F.lit(False).alias("limit_down"), "stop", "target", "cut")
+    return rows.select("t_idx", "date", "code", "open", "close", "am20", "turnover", "limit_up", "limit_down", "stop", "target", "cut")
 
 
 def _nav_rows(df: DataFrame) -> DataFrame:
