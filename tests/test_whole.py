@@ -11,7 +11,7 @@ import pytest
 
 from tidepanel.operators.execution import Book, Quote
 from tidepanel.operators.portfolio import weights_from_returns
-from tidepanel.plans import backtest
+from tidepanel.plans import backtest, sweeps
 from tidepanel.plans import queries as Q
 
 SUPPLIERS, WEEKS = 12, 60
@@ -166,3 +166,25 @@ def test_price_limits_act(spark, wide):
     rows = Q.quotes(spark, wide).toPandas().sort_values(["code", "date"])
     move = rows.groupby("code").close.pct_change(fill_method=None)
     assert (rows.limit_up == (move >= 0.095)).all() and (rows.limit_down == (move <= -0.095)).all() and rows.limit_up.any() and rows.limit_down.any()
+
+
+# ---------------------------------------------------------------- sweeps
+def test_heatmap_of_a_grid(spark, wide):
+    rows = Q.quotes(spark, wide).toPandas()
+    days, want = sorted(set(rows.date)), {}
+    for name, params in sweeps.cross_grid([3, 5], [8, 13], capital=1e7).items():
+        nav = backtest.event_backtest(rows.assign(scenario_id=name, params=json.dumps(params))).set_index("date").nav
+        folds = [nav[(nav.index >= lo) & (nav.index <= hi)] for lo, hi in sweeps.split_windows(days, 4)]
+        want[name] = np.mean([x.iloc[-1] / x.iloc[0] - 1 for x in folds])
+    got = {f"{r.short}x{c}": r[c] for r in Q.cross_heatmap(spark, wide).collect() for c in ("8", "13")}
+    assert got == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} and any(want.values())
+
+
+def test_rolling_choice(spark):
+    rows = [("a", 0, 0.1, 1.0), ("b", 0, 0.2, 2.0), ("a", 1, 0.3, 3.0), ("b", 1, -0.1, None), ("a", 2, 0.5, 1.0), ("b", 2, 0.4, 0.5)]
+    found = sweeps.rolling_choice(spark.createDataFrame(rows, "scenario_id string, fold int, total double, sharpe double"))
+    got, want = [(r.fold, r.scenario_id, r.train_sharpe, r.test_total, r.test_sharpe) for r in found.collect()], []
+    for fold in (1, 2):
+        sharpe, _, best = max((s, t, k) for k, f, t, s in rows if f == fold - 1 and s is not None)
+        want += [(fold, best, sharpe, t, s) for k, f, t, s in rows if f == fold and k == best]
+    assert got == want

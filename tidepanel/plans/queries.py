@@ -813,6 +813,17 @@ def walk_forward(spark, sf_dir):
     return rounded(sweeps.summary(found, ["scenario_id"]), "mean_total", "mean_sharpe", digits=6)
 
 
+@register("cross_heatmap")
+def cross_heatmap(spark, sf_dir):
+    """Mean totals of a golden-cross grid over its folds: a row for each short average, a column for each long one."""
+    rows = quotes(spark, sf_dir)
+    days = [r.date for r in panels.calendar(rows.select("date")).orderBy("date").collect()]
+    found = sweeps.sweep(rows, sweeps.cross_grid([3, 5], [8, 13], capital=1e7), sweeps.split_windows(days, 4))
+    sides = F.split("scenario_id", "x")
+    out = sweeps.heatmap(found.select(sides[0].cast("int").alias("short"), sides[1].alias("long"), "total"), "short", "long", "total")
+    return rounded(out, *out.columns[1:], digits=6)
+
+
 @register("risk_parity")
 def risk_parity(spark, sf_dir):
     from ..operators.portfolio import optimised_weights
