@@ -296,30 +296,106 @@ def test_predictive_probabilities_sum_to_one(spark):
     p = {asked[r.doc_id]: 10**r.score for r in hpylm.score(rows, F.col("doc_id") >= 1000).collect() if r.held_out}
     m = np.array([[p[f"{y} {x}"] / p[y] for x in letters] for y in letters])
     total = p[""] + np.array([p[x] for x in letters]) @ np.linalg.solve(np.eye(6) - m, np.ones(6))
-    assert total == pytest.approx(1.0, abs=1e-4)
-
-
-def test_gibbs_draws_follow_the_conditional():
-    """Table counts of one dish against their exact probabilities, from all seatings of five customers."""
-    d, s, p, rest, c = 0.4, 1.2, 0.3, 2.0, 5
-    weight = {(1, (1,)): 1.0}
-    for _ in range(c - 1):
-        new: dict = {}
-        for (t, sizes), w in weight.items():
-            for i, x in enumerate(sizes):
-                k = (t, (*sizes[:i], x + 1, *sizes[i + 1 :]))
-                new[k] = new.get(k, 0) + w * (x - d)
-            k = (t + 1, (*sizes, 1))
-            new[k] = new.get(k, 0) + w * (s + d * (rest + t)) * p
-        weight = new
-    by: Counter = Counter()
-    for (t, _), w in weight.items():
-        by[t] += w
-    n = 40_000
-    got = Counter(hpylm.draw_tables(np.full(n, c), np.full(n, rest), np.full(n, p), d, s, np.random.default_rng(0)).tolist())
-    for t in range(1, c + 1):
-        assert abs(got[t] / n - by[t] / sum(by.values())) < 0.01
-    assert hpylm.draw_tables(np.array([0, 1, 500]), np.zeros(3), np.full(3, 0.1), d, s, np.random.default_rng(0))[:2].tolist() == [0, 1]
+    assert total == pytest.approx(1.0, abs=1e-9)
+
+
+def test_scores_do_not_depend_on_the_cluster(spark, docs, monkeypatch):
+    monkeypatch.setattr(hpylm, "TOKENS_PER_BUCKET", 3000)
+    held = langid.held_out(F.col("doc_id"), 7, 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n, parts in (("4", 3), ("16", 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted((r.doc_id is None, r.doc_id, round(r.score, 9)) for r in hpylm.score(docs.repartition(parts), held).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def _seated_by_hand(texts: list[list[str]], d: float, d0: float, s: float, s0: float, sweeps: int, rng: np.random.Generator):
+    """Average predictive probabilities of Gibbs sampling that unseats and seats one customer at a time, tables held one by one."""
+    customers = [(u, w) for t in texts for u, w in zip(["<s>", *t], [*t, "</s>"])]
+    tables: dict = {}
+    m: Counter = Counter()
+    room: Counter = Counter()
+    for u, w in customers:
+        own = tables.setdefault((u, w), [])
+        if own:
+            own[0] += 1
+        else:
+            own.append(1)
+            m[w] += 1
+            room[u] += 1
+    count = Counter(customers)
+    total = Counter(u for u, _ in customers)
+    out: Counter = Counter()
+    n = 0
+    for step in range(sweeps):
+        for u, w in customers:
+            own = tables[u, w]
+            k = rng.choice(len(own), p=np.array(own) / sum(own))
+            own[k] -= 1
+            if not own[k]:
+                own.pop(k)
+                m[w] -= 1
+                room[u] -= 1
+            new = (s + d * room[u]) * (m[w] - d0) / (s0 + sum(m.values())) if m[w] else 1.0
+            odds = np.array([x - d for x in own] + [new])
+            k = rng.choice(len(odds), p=odds / odds.sum())
+            if k == len(own):
+                own.append(1)
+                m[w] += 1
+                room[u] += 1
+            else:
+                own[k] += 1
+        if step >= sweeps // 10:
+            n += 1
+            for u in [*total, "?"]:
+                for w in [*m, "?"]:
+                    parent = (m[w] - d0 if m[w] else s0 + d0 * len(m)) / (s0 + sum(m.values()))
+                    out[u, w] += (count[u, w] - d * len(tables.get((u, w), [])) + (s + d * room[u]) * parent) / (s + total[u])
+    return {k: v / n for k, v in out.items()}
+
+
+def test_scores_equal_sampling_by_hand(spark):
+    rng = np.random.default_rng(11)
+    texts = [["abcd"[min(3, k)] for k in rng.geometric(0.4, size=9) - 1] for _ in range(7)]
+    counts = Counter(x for t in texts for x in zip(["<s>", *t], [*t, "</s>"]))
+    contexts = Counter(w for _, w in counts)
+    ones_twos = lambda c: [sum(x == k for x in c.values()) for k in (1, 2)]
+    d, d0 = hpylm._discount(*ones_twos(counts)), hpylm._discount(*ones_twos(contexts))
+    p = _seated_by_hand(texts, d, d0, 1.0, 1.0, 2500, rng)
+    asked = [[], ["a"], ["d", "d"], ["z"], ["b", "z", "a"], ["c", "a", "b"]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + asked)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hpylm.score(rows, F.col("doc_id") >= len(texts), draws=24).collect()}
+    known = lambda w: w if w in {*contexts, "<s>"} else "?"
+    for i, t in enumerate(asked):
+        expected = sum(math.log10(p[known(u), known(w)]) for u, w in zip(["<s>", *t], [*t, "</s>"]))
+        assert got[len(texts) + i] == pytest.approx(expected, abs=0.04)
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.7, 30.0, 3000.0])
+def test_table_draws_follow_the_conditional(rate):
+    """Against the weights S(c, t) rate^t: at few customers from all seatings of five, beyond EXACT from the recursion."""
+    d, n = 0.6, 20_000
+    by: Counter = Counter({(1, 1): 1.0})
+    for c in range(1, 5):
+        for (k, t), w in [x for x in by.items() if x[0][0] == c]:
+            by[c + 1, t] += w * (c - d * t)
+            by[c + 1, t + 1] += w
+    small = np.array([by[5, t] * rate**t for t in range(1, 6)])
+    got = np.bincount(hpylm.draw_tables(np.full(n, 5), np.full(n, rate), d, np.random.default_rng(0)), minlength=6)[1:]
+    assert np.abs(got / n - small / small.sum()).max() < 0.015
+    top = 6 * hpylm.EXACT
+    w = hpylm.log_stirling(d, top)[top, 1:] + np.log(rate) * np.arange(1, top + 1)
+    w = np.exp(w - w.max())
+    w /= w.sum()
+    mean = w @ np.arange(1, top + 1)
+    spread = math.sqrt(w @ np.arange(1, top + 1) ** 2 - mean**2)
+    t = hpylm.draw_tables(np.full(n, top), np.full(n, rate), d, np.random.default_rng(1))
+    assert abs(t.mean() - mean) < 0.03 * spread and abs(t.std() / spread - 1) < 0.1 and t.min() >= 1 and t.max() <= top
+    first = np.cumsum(np.bincount(t, minlength=top + 1)[1:]) / n
+    assert np.abs(first - np.cumsum(w)).max() < 0.02
+    assert hpylm.draw_tables(np.array([0, 1]), np.full(2, rate), d, np.random.default_rng(0)).tolist() == [0, 1]
 
 
 # ---------------------------------------------------------------- search
