@@ -2,11 +2,13 @@
 
 Components are turned into integers floor(1024 x), so scores are exact integers.  Each shard builds a
 kd-tree by median splits along the widest axis, with a tight bounding box at every node.  A box bounds
-the score of a query from above by the sum of the larger product at either end of each axis.  A shard is
-searched best-first: boxes in falling order of their bound, until no bound beats the query's kth score.
-A first round takes a bound on the kth score from each query's best leaf of every shard; its best over
-the shards is propagated to the second round, which searches all shards.  Queries go to the shards in
-blocks; nothing is broadcast and no pairs of rows are made but k for each query and shard.
+the score of a query from above by the sum of the larger product at either end of each axis.  Shards are
+dealt to groups, and blocks of queries go once to every group.  There a query visits the shards in falling
+order of their root's bound, each best-first: boxes in falling order of their bound, until no bound beats
+the kth score so far, which it carries from shard to shard.  A first round visits the best leaf of the
+best shards only; the best kth score over the groups is propagated to the second round, which searches
+all groups.  Nothing is broadcast, no table is joined to all of another, and no pairs of rows are made but
+k for each query and group.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,21 +29,25 @@ SCALE = 1024
 LEAF = 64
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
-SHARD = "shard long, kind int, block long, n int, dim int, ids binary, vectors binary, bound binary"
+SHARDS_PER_GROUP = 16
+SHARD = "kind int, block long, n int, dim int, ids binary, vectors binary, bound binary"
 HITS = "query_id long, vec_id long, score long"
 
 
-def as_integers(vectors: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which vectors take part, and their integer components; null vectors and those with null or non-finite components don't."""
-    use, out = np.zeros(len(vectors), dtype=bool), []
-    for i, v in enumerate(vectors.to_pylist()):
-        if v is None or any(x is None for x in v):
-            continue
-        a = np.floor(SCALE * np.array(v, dtype=np.float64))
-        if np.isfinite(a).all():
-            use[i] = True
-            out.append(a)
-    return use, out
+def as_integers(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and integer components (one row each) of the vectors that take part, by their length; null vectors and those with null or non-finite components don't."""
+    vectors = vectors.cast(pa.large_list(pa.float64()))
+    length = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1)).astype(np.int64)
+    first = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+    x = np.floor(SCALE * np.asarray(pc.fill_null(pc.list_flatten(vectors), np.nan), dtype=np.float64))
+    out = []
+    for n in np.unique(length[length >= 0]).tolist():
+        at = np.flatnonzero(length == n)
+        rows = x[first[at][:, None] + np.arange(n)]
+        good = np.isfinite(rows).all(axis=1)
+        if good.any():
+            out.append((at[good], rows[good]))
+    return out
 
 
 class Tree:
@@ -76,12 +83,11 @@ class Tree:
         """The upper bound of every box for a query."""
         return np.maximum(query * self.lows, query * self.highs).sum(axis=1)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, kth: float, best_leaf_only: bool = False) -> list[tuple[int, int]]:
-        """Up to k (score, -vec_id), best first, of those that score kth at least; the query's own row never counts."""
+    def search(self, query_id: int, query: np.ndarray, k: int, kth: float, top: list[tuple[int, int]], best_leaf_only: bool = False) -> None:
+        """Put into the heap `top`, of at most k (score, -vec_id), what scores kth at least and beats its least; the query's own row never counts."""
         if not self.low:
-            return []
+            return
         bound = self.bounds(query)
-        top: list[tuple[int, int]] = []
         heap = [(-bound[0], 0)]
         while heap:
             b, node = heapq.heappop(heap)
@@ -105,6 +111,25 @@ class Tree:
                     heapq.heapreplace(top, item)
             if best_leaf_only:
                 break
+
+
+class Group:
+    """The trees of the shards of a group, by the length of their vectors."""
+
+    def __init__(self) -> None:
+        self.trees: dict[int, list[Tree]] = {}
+
+    def add(self, row: dict) -> None:
+        self.trees.setdefault(row["dim"], []).append(Tree(*_matrix(row)))
+
+    def search(self, dim: int, query_id: int, query: np.ndarray, k: int, kth: float, best_leaves_only: bool = False) -> list[tuple[int, int]]:
+        """Up to k (score, -vec_id), best first, of those that score kth at least."""
+        trees, top = self.trees.get(dim, []), []
+        roots = [float(np.maximum(query * t.lows[0], query * t.highs[0]).sum()) for t in trees]
+        for i in sorted(range(len(trees)), key=lambda i: -roots[i]):
+            if roots[i] < max(kth, top[0][0] if len(top) == k else -np.inf):
+                break
+            trees[i].search(query_id, query, k, kth, top, best_leaves_only)
         return sorted(top, reverse=True)
 
 
@@ -115,24 +140,27 @@ def _blobs(vectors: DataFrame, kind: int, rows: int) -> DataFrame:
         from pyspark import TaskContext
 
         base, n = TaskContext.get().partitionId() << 32, 0
-        by_dim: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        by_dim: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
 
-        def out(dim: int) -> pa.RecordBatch:
-            ids, held = by_dim.pop(dim)
-            return C.record(SHARD, shard=[base + n], kind=[kind], block=[base + n], n=[len(ids)], dim=[dim], ids=[np.array(ids, np.int64).tobytes()], vectors=[np.array(held).astype(np.int32 if max((np.abs(h).max(initial=0) for h in held), default=0) < 2**31 else np.float64).tobytes()], bound=[b""])
+        def out(dim: int, most: int) -> pa.RecordBatch:
+            ids, held = (np.concatenate(x) for x in by_dim.pop(dim))
+            if len(ids) > most:
+                by_dim[dim] = ([ids[most:]], [held[most:]])
+            ids, held = ids[:most], held[:most]
+            small = np.abs(held).max(initial=0) < 2**31
+            return C.record(SHARD, kind=[kind], block=[base + n], n=[len(ids)], dim=[dim], ids=[ids.tobytes()], vectors=[held.astype(np.int32 if small else np.float64).tobytes()], bound=[b""])
 
         for batch in batches:
-            use, found = as_integers(batch.column(1))
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)[use] if use.any() else []
-            for i, v in zip(ids, found):
-                own = by_dim.setdefault(len(v), ([], []))
-                own[0].append(int(i))
-                own[1].append(v)
-                if len(own[0]) >= rows:
-                    yield out(len(v))
+            every = np.asarray(batch.column(0))
+            for at, found in as_integers(batch.column(1)):
+                own = by_dim.setdefault(found.shape[1], ([], []))
+                own[0].append(every[at].astype(np.int64))
+                own[1].append(found)
+                while found.shape[1] in by_dim and sum(map(len, by_dim[found.shape[1]][0])) >= rows:
+                    yield out(found.shape[1], rows)
                     n += 1
         for dim in list(by_dim):
-            yield out(dim)
+            yield out(dim, rows)
             n += 1
 
     return vectors.mapInArrow(pack, SHARD)
@@ -156,49 +184,57 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows:
     spark = vectors.sparkSession
     C.bound_batches(spark)
     pick = lambda df: df.select(F.col("`vec_id`").cast("long").alias("vec_id"), F.col("`embedding`").alias("embedding")).where("vec_id is not null and embedding is not null")
-    shards = C.materialise(_blobs(pick(vectors).repartition(max(1, spark.sparkContext.defaultParallelism)), 0, shard_rows), "shards")
+    parallel = max(1, spark.sparkContext.defaultParallelism)
+    shards = C.materialise(_blobs(pick(vectors).repartition(parallel), 0, shard_rows), "shards")
     blocks = C.materialise(_blobs(pick(queries), 1, BLOCK_ROWS), "queries")
+    n_shards = shards.count()
+    groups = max(1, min(n_shards, max(parallel, -(-n_shards // SHARDS_PER_GROUP))))
     tasks = C.partitions(spark)
-    numbers = shards.select("shard")
+    dealt = shards.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
 
     def meet(q: DataFrame) -> DataFrame:
-        """Every block of queries beside every shard, blocks after the shard's own vectors, a shard in one task."""
-        # Block rows are few: rows / BLOCK_ROWS, and shards rows / shard_rows; the copies are what the search has to read anyway.
-        copies = q.drop("shard").withColumn("one", F.lit(1)).join(numbers.withColumn("one", F.lit(1)), "one").select(*shards.columns)
-        return C.by_bucket(shards.unionByName(copies), tasks, "shard", "kind", "block")
+        """Every block of queries in every group, behind the group's shards."""
+        copies = q.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        return C.by_bucket(dealt.unionByName(copies), groups, "group", "kind", "block")
 
-    def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tree, int, dict]]:
-        tree, dim = None, -1
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Group, dict]]:
+        now, group = None, Group()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
+                if row["group"] != now:
+                    now, group = row["group"], Group()
                 if row["kind"] == 0:
-                    tree, dim = Tree(*_matrix(row)), row["dim"]
-                elif row["dim"] == dim:
-                    yield tree, row["shard"], row
+                    group.add(row)
+                else:
+                    yield group, row
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tree, _, row in shard_of(batches):
+        for group, row in answered(batches):
             ids, q = _matrix(row)
             kth = []
             for i, v in zip(ids.tolist(), q):
-                top = tree.search(i, v, k, -np.inf, best_leaf_only=True)
+                top = group.search(row["dim"], i, v, k, -np.inf, best_leaves_only=True)
                 kth.append(float(top[-1][0]) if len(top) == k else -np.inf)
             yield C.record("block long, bound binary", block=[row["block"]], bound=[np.array(kth).tobytes()])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in C.groups(batches, "block"):
-            yield C.record("block long, bound binary", block=[block], bound=[np.max([np.frombuffer(r["bound"]) for r in rows], axis=0).tobytes()])
+            bound = np.max([np.frombuffer(r["bound"]) for r in rows if r["kind"] < 0], axis=0)
+            for r in rows:
+                if r["kind"] >= 0:
+                    yield C.record(SHARD, **{c: [r[c]] for c in ("kind", "block", "n", "dim", "ids", "vectors")}, bound=[bound.tobytes()])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tree, _, row in shard_of(batches):
+        for group, row in answered(batches):
             ids, q = _matrix(row)
-            bound = np.frombuffer(row["bound"]) if row["bound"] else np.full(len(ids), -np.inf)
-            hits = [(i, -v, s) for i, x, b in zip(ids.tolist(), q, bound.tolist()) for s, v in tree.search(i, x, k, b)]
+            hits = [(i, -v, s) for i, x, b in zip(ids.tolist(), q, np.frombuffer(row["bound"]).tolist()) for s, v in group.search(row["dim"], i, x, k, b)]
             yield C.record(HITS, query_id=[h[0] for h in hits], vec_id=[h[1] for h in hits], score=[h[2] for h in hits])
 
-    bounds = C.by_bucket(meet(blocks).mapInArrow(probe, "block long, bound binary"), tasks, "block").mapInArrow(best, "block long, bound binary")
-    bounded = C.materialise(blocks.drop("bound").join(bounds, "block", "left").select(*blocks.columns), "bounded")
+    # a block's own row behind the bounds that the groups gave it
+    probed = meet(blocks).mapInArrow(probe, "block long, bound binary")
+    bounds = probed.select(F.lit(-1).alias("kind"), "block", F.lit(0).alias("n"), F.lit(0).alias("dim"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("vectors"), "bound")
+    bounded = C.materialise(C.by_bucket(bounds.unionByName(blocks), tasks, "block", "kind").mapInArrow(best, SHARD), "bounded")
     hits = meet(bounded).mapInArrow(search, HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
