@@ -30,30 +30,33 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language: null texts and texts without letters, and texts far from every profile."""
-    model = langid.train(docs)
-    return langid.annotate(docs, model).where("lang_pred <> 'und' and score >= 0.1").select(*docs.columns)
+    found = langid.annotate(docs, langid.train(docs))
+    lang, score = (F.col(c) for c in found.columns[-2:])
+    return found.where((lang != "und") & (score >= 0.1)).select(*common.own_columns(docs))
 
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near duplicates (five words, similarity 0.75): that of the smallest id, null ids last."""
-    numbered = common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = jaccard.jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first")
-    keep = numbered.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
-    return numbered.join(keep, "_row", "left_semi").select(*docs.columns)
+    (row,) = common.fresh(docs, "_row")
+    numbered = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(row).alias("row"), "doc_id").join(found, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    keep = ids.groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
+    return numbered.join(keep, row, "left_semi").select(*common.own_columns(docs))
 
 
 @_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove passages of 50 words or more that occurred before, and nothing else."""
+    """Remove passages of 50 words or more that occurred before, and nothing else; n_chars stays that of the document as it came."""
     return suffix.remove_repeats(docs, min_words=50)
 
 
 @_stage
 def curriculum(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes, in training order."""
-    return mixing.copies(docs).select(*docs.columns)
+    return mixing.copies(docs)
 
 
 @_stage
