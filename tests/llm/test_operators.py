@@ -33,7 +33,7 @@ def same(found, expected) -> None:
 
 # ---------------------------------------------------------------- quality
 def test_base_rules(spark, docs):
-    model = quality.ChainModel(quality.PRIOR_EMISSION, quality.PRIOR_TRANSITION)
+    model = quality.ChainModel(np.linspace(-1, 1, quality.N_FEATURES), np.array([[0.5, -0.5], [-0.5, 0.5]]))
     got = quality.label_lines(docs, model).collect()
     expected = []
     for r in ROWS:
@@ -46,7 +46,100 @@ def test_base_rules(spark, docs):
                 cut[p : p + 5] = [True] * 5
         expected.append((r[0], len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), sum(cut), len(w) < 10 or 100 * sum(cut) > 20 * len(w)))
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got], expected)
-    assert all(not (r.kept and r.base_failed) for r in got)
+    shares = []
+    for r in ROWS:
+        lines = [x for x in (r[1] or "").split("\n") if K.words(x)]
+        seen: set = set()
+        score = []
+        for x in lines:
+            score.append(float(np.dot(quality.line_features(x.encode(), seen), model.emission)))
+            seen.add(x.encode())
+        paths = model.viterbi(score) if lines else []
+        n = sum(len(K.words(x)) for x in lines)
+        shares.append((r[0], round(sum(len(K.words(x)) for x, s in zip(lines, paths) if not s) / n, 9) if n else 0.0))
+    same([(r.doc_id, round(r.content_share, 9)) for r in got], shares)
+    assert all(r.kept == (not r.base_failed and r.content_share >= 0.5) for r in got)
+    bare = quality.label_lines(docs, None).collect()
+    assert all(r.content_share is None and r.n_content_words is None and r.kept == (not r.base_failed) for r in bare)
+
+
+def test_quality_of_empty_tables(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.train(docs, none) is None and quality.train(empty, none) is None
+    assert quality.label_lines(empty, None).isEmpty() and quality.common_lines(empty) == frozenset()
+
+
+def test_likelihood_and_gradient():
+    """Against the sum over all paths, and its differences."""
+    rng = np.random.default_rng(2)
+    lens = np.array([4, 3, 1])
+    x, y = rng.normal(size=(8, quality.N_FEATURES)), rng.integers(0, 2, 8)
+
+    def plain(theta: np.ndarray) -> float:
+        w, tr, total, at = theta[: quality.N_FEATURES], theta[quality.N_FEATURES :].reshape(2, 2), 0.0, 0
+        for n in lens:
+            e = x[at : at + n] @ w
+            value = lambda path: sum(v for v, s in zip(e, path) if s) + sum(tr[a, b] for a, b in zip(path, path[1:]))
+            z = math.log(sum(math.exp(value([(k >> i) & 1 for i in range(n)])) for k in range(1 << n)))
+            total += value(y[at : at + n].tolist()) - z
+            at += n
+        return total / 8 - 0.05 * float(theta @ theta)
+
+    theta = rng.normal(size=quality.N_FEATURES + 4) * 0.3
+    value, grad = quality.likelihood(theta, x, y, lens, 0.1)
+    assert value == pytest.approx(plain(theta))
+    step = 1e-6 * np.eye(len(theta))
+    np.testing.assert_allclose(grad, [(plain(theta + d) - plain(theta - d)) / 2e-6 for d in step], atol=1e-6)
+
+
+def test_common_lines(spark, docs):
+    contexts: dict = {}
+    for r in ROWS:
+        lines = (r[1] or "").split("\n")
+        known = [quality.line_hash(x.encode()) if K.words(x) else None for x in lines] if r[1] is not None else []
+        for i, h in enumerate(known):
+            if h is not None:
+                contexts.setdefault(h, set()).add((known[i - 1] if i else None, known[i + 1] if i + 1 < len(known) else None))
+    assert quality.common_lines(docs) == {h for h, at in contexts.items() if len(at) >= 3}
+
+
+def _pages(rng, n: int) -> list[tuple[int, str, int, list[int]]]:
+    """Good pages of prose with a footer of some site, bad ones of shouting and tables, with their line states."""
+    words = ["plain", "river", "stone", "walks", "under", "light", "small", "house", "winter", "door"]
+    prose = lambda: " ".join(rng.choice(words, int(rng.integers(8, 16)))).capitalize() + "."
+    junk = lambda: " ".join(x.upper() + "!!" for x in rng.choice(words, 9)) if rng.random() < 0.5 else " | ".join(rng.choice(words, 9)) + " |"
+    footers = ["Subscribe to our newsletter", "Share this page with friends", "All rights reserved by the site", "Read more stories like this one"]
+    out = []
+    for i in range(n):
+        bad = i % 3 == 0
+        lines, states = [prose() for _ in range(6)], [0] * 6
+        if bad:
+            lines, states = [prose(), *[junk() for _ in range(5)]], [0] + [1] * 5
+        elif i % 2:
+            lines, states = lines + [footers[i % 4]], states + [1]
+        out.append((i, "\n".join(lines), int(not bad), states))
+    return out
+
+
+def test_lines_are_told_apart_within_a_document(spark):
+    """Labels are of documents; mixed pages and footers are split by lines all the same."""
+    rng = np.random.default_rng(8)
+    pages = _pages(rng, 240)
+    table = spark.createDataFrame([p[:2] for p in pages], "doc_id long, text string")
+    model = quality.train(table, spark.createDataFrame([(i, q) for i, _, q, _ in pages[:200]], "doc_id long, quality int"))
+    mixed = []
+    for i in range(0, 40, 2):
+        (_, a, _, sa), (_, b, _, sb) = pages[200 + i % 40], pages[3 * i]
+        mixed.append(("\n".join([*a.split("\n")[:3], *b.split("\n")[1:4], *a.split("\n")[3:]]), [*sa[:3], *sb[1:4], *sa[3:]]))
+    mixed += [(t, s) for _, t, _, s in pages[200:]]
+    right = total = 0
+    for text, states in mixed:
+        rows, _, _ = quality._lines(text.encode(), model.common)
+        found = model.viterbi((np.array(rows) @ model.emission).tolist())
+        right, total = right + sum(x == y for x, y in zip(found, states)), total + len(states)
+    assert right >= 0.95 * total
+    share = [r.content_share for r in quality.label_lines(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(mixed[:20])], "doc_id long, text string"), model).collect()]
+    assert all(0 < x < 1 for x in share)
 
 
 def test_viterbi_is_the_best_path():
@@ -66,8 +159,9 @@ def test_chain_learns_boilerplate(spark):
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in good + bad], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.content_share for r in quality.label_lines(table, quality.train(table, labels)).collect()}
     assert all(got[i] == 1.0 for i, _, _ in good) and all(got[i] == 0.0 for i, _, _ in bad)
-    none = quality.train(table, labels.where("quality > 5"))
-    assert none.emission.tolist() == quality.PRIOR_EMISSION.tolist()
+    assert quality.train(table, labels.where("quality > 5")) is None and quality.train(table, labels.where("quality = 1")) is None
+    again = quality.train(table.union(table), labels.union(labels.select("doc_id", F.lit(1), "toxic")))
+    assert again.emission.tolist() == quality.train(table, labels).emission.tolist()
 
 
 # ---------------------------------------------------------------- language
@@ -93,6 +187,34 @@ def test_out_of_place_distance():
     assert Counter(codes.tolist())[ord("a")] == 2 and (ord("a") << 21 | ord("b")) in codes
 
 
+def test_predictions_equal_plain_profiles(spark, docs):
+    """Counting, ranking and distances by dictionaries of strings."""
+
+    def grams(text: str) -> list[str]:
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        return [f" {w} "[i : i + n] for w in words for n in (1, 2, 3) for i in range(len(w) + 3 - n) if f" {w} "[i : i + n].strip()]
+
+    def ranks(counts: Counter, size: int) -> dict[str, int]:
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:size])}
+
+    size, by = 60, {}
+    for r in ROWS:
+        if r[1] is not None and r[2] is not None:
+            by.setdefault(r[2], Counter()).update(grams(r[1]))
+    profiles = {lang: ranks(c, size) for lang, c in sorted(by.items())}
+    expected = []
+    for r in ROWS:
+        own = ranks(Counter(grams(r[1] or "")), size)
+        if not own:
+            expected.append((r[0], "und", 0.0))
+            continue
+        away = {lang: sum(min(abs(p[g] - i), size) if g in p else size for g, i in own.items()) for lang, p in profiles.items()}
+        best = min(away, key=lambda lang: (away[lang], lang))
+        expected.append((r[0], best, round(1 - away[best] / (size * len(own)), 9)))
+    same([(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, langid.train(docs, size)).collect()], expected)
+
+
 # ---------------------------------------------------------------- shards
 def test_kd_shards(spark, docs, empty):
     got = sharding.kd_shards(docs, n_shards=5).collect()
@@ -223,7 +345,8 @@ def test_remove_repeats_keeps_one_of_each(spark, docs):
     assert any("shared0 shared1" in (r.text or "") for r in got)
     unchanged = Counter(r[:2] for r, c in zip(ROWS, K.repeated_cover([r[1] for r in ROWS], 50)) if not any(c))
     assert not unchanged - Counter((r.doc_id, r.text) for r in got)
-    assert all(r.text is None or r.n_chars == len(r.text) for r in got)
+    assert Counter((r.doc_id, r.lang, r.source, r.n_chars, r.a, r.chunk, r.body, r.n_words) for r in got) == Counter((r[0], *r[2:]) for r in ROWS)
+    assert suffix.remove_repeats(spark.createDataFrame([], K.SCHEMA)).isEmpty()
 
 
 def test_minimisers_hit_every_window():

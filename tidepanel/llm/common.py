@@ -132,6 +132,22 @@ def with_columns_first(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has already (in any case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list:
+    """The columns of df, for a select of them from a table with more."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 # ---------------------------------------------------------------- batches and chunks
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes of `column`; a longer row is alone in its slice."""
@@ -358,7 +374,7 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, l
         yield now, held
 
 
-def record(schema: str | T.StructType, **columns) -> pa.RecordBatch:
+def record(schema: str | T.StructType, /, **columns) -> pa.RecordBatch:
     """A record batch with the Arrow types of a Spark schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -82,6 +82,8 @@ class Profiles:
 def train(docs: DataFrame, size: int = 400) -> Profiles:
     """Count the n-grams of every training document (text, lang; nulls take no part) and keep `size` of them for each language.
 
+    Repeated rows count again; texts without a letter add nothing; without documents there is no language.
+
     Counts are summed in the worker, flushed at FLUSH distinct n-grams, and summed again by (language,
     n-gram), so a language with most of the rows is no hot key.  What reaches the driver is size rows
     for each language.
@@ -128,7 +130,8 @@ def predict(docs: DataFrame, model: Profiles) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text), over the whole text.
 
     lang_pred is `und` with score 0 where the text is null or has no letter, or the model knows no
-    language.  Ties between languages go to the first by name.  One row for each input row.
+    language.  Ties between languages go to the first by name.  One row for each input row, repeated rows and
+    null ids included; an empty table gives no rows; other columns of any name are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +148,16 @@ def held_out(doc_id, modulus: int, remainder: int):
 
 
 def annotate(docs: DataFrame, model: Profiles) -> DataFrame:
-    """docs with lang_pred and score behind its own columns (which must not have these names), as predict() has them."""
+    """docs with two columns more, the last: lang_pred and score as predict() has them, with underscores before the names if docs has such columns."""
     from pyspark.sql import types as T
 
     C.bound_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    lang, score = C.fresh(docs, "lang_pred", "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.small_batches(batches, "text"):
             found = [model.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.append_column("lang_pred", pa.array([a for a, _ in found], pa.string())).append_column("score", pa.array([b for _, b in found], pa.float64()))
+            yield batch.append_column(lang, pa.array([a for a, _ in found], pa.string())).append_column(score, pa.array([b for _, b in found], pa.float64()))
 
     return docs.mapInArrow(run, schema)

@@ -41,18 +41,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps:
     return rows.withColumn("water", level).select("source", "source_size", "ramp", F.when(F.col("water").isNull() | (F.col("ratio") <= F.col("water")), F.col("source_size") * F.lit(float(cap))).otherwise(F.col("water") * F.col("weight")).alias("target"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps: tuple[float, ...] = RAMPS, cap: int = CAP) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps: tuple[float, ...] = RAMPS, cap: int = CAP, row: str | None = None) -> DataFrame:
     """What the mix takes of each document: doc_id, source, size, source_size, target, taken, copies, before, ramp, row.
 
     docs: doc_id long, text string, source string; other columns are ignored.  size: runs of characters
     other than ASCII white space (null: 0).  No document is taken more than cap times.  One row for each
     input row; equal ids are ordered by size, and rows equal in both are interchangeable.  Null sources
-    are one source, the last; a source of size 0 has target 0; an empty table gives no rows.  `row` is
-    the column _row of docs if there is one, and breaks the last ties.
+    are one source, the last; a source of size 0 has target 0; an empty table gives no rows.  row names a
+    long column of docs that breaks the last ties (0 without one), returned as `row`.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    key = F.col("_row") if "_row" in docs.columns else F.lit(0).cast("long")
+    key = F.col(f"`{row}`") if row else F.lit(0).cast("long")
     rows = C.materialise(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`source`").cast("string").alias("source"), F.col("`text`").alias("text"), key.alias("row")).select("doc_id", "source", "row", F.substring(digest, 1, 16).alias("digest"), size.alias("size")), "sizes")
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(by.select("source", "source_size"), weights, ramps, cap)
@@ -74,11 +74,14 @@ def position(words_before):
     """The time from 0 to 1 at which the source's cumulative demand reaches so many words: the inverse of the integrated schedule."""
     x = F.least(F.lit(1.0), words_before / F.col("target"))
     a = F.col("ramp")
-    return F.when(F.col("target") <= 0, F.lit(0.0)).when(a == 0, x).otherwise((F.sqrt((F.lit(1.0) - a) * (F.lit(1.0) - a) + F.lit(4.0) * a * x) - (F.lit(1.0) - a)) / (F.lit(2.0) * a))
+    return F.when(F.col("target") <= 0, F.lit(0.0)).when(a == 0, x).otherwise((F.sqrt((F.lit(1.0) - a) * (F.lit(1.0) - a) + F.lit(4.0) * a * x) - (F.lit(1.0) - a)) / (F.lit(2.0) * a) + F.lit(0.0))
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The training order: one row for each copy taken (doc_id, source, size, copy from 0, position), range-sorted by position."""
+    """The training order: one row for each copy taken (doc_id, source, size, copy from 0, position), range-sorted by position.
+
+    Nulls, repeated rows and other columns count as in mixture(); an empty table gives no rows.
+    """
     taken = mixture(docs, **options).where("copies > 0")
     copies = taken.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     at = position(F.col("copy") * F.col("source_size") + F.col("before"))
@@ -86,13 +89,17 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
 
 
 def copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with all their columns, one for each copy that the mix takes, in training order; rows that it doesn't take go."""
-    numbered = C.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = mixture(numbered, **options).where("copies > 0")
-    at = position(F.col("_copy") * F.col("source_size") + F.col("before"))
-    plan = taken.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("_copy")).select(F.col("row").alias("_row"), "_copy", at.alias("_position"))
-    rows = numbered.join(plan, "_row").repartitionByRange("_position", "_row", "_copy").sortWithinPartitions("_position", "_row", "_copy")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, one for each copy that the mix takes, in training order; rows that it doesn't take go.
+
+    All columns of docs are returned as they are, whatever their names and nulls; repeated rows are rows of
+    their own; an empty table gives no rows.
+    """
+    row, copy, at = C.fresh(docs, "_row", "_copy", "_position")
+    numbered = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mixture(numbered, row=row, **options).where("copies > 0")
+    when = position(F.col("copy") * F.col("source_size") + F.col("before"))
+    plan = taken.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).select(F.col("row").alias(row), F.col("copy").alias(copy), when.alias(at))
+    return numbered.join(plan, row).repartitionByRange(at, row, copy).sortWithinPartitions(at, row, copy).select(*C.own_columns(docs))
 
 
 MIXTURE_SQL = """

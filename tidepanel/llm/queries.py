@@ -106,6 +106,6 @@ ORACLES: dict[str, str] = {
     "op5_curriculum_mix": f"""
 SELECT doc_id, size, source_size, target, taken,
        CASE WHEN target <= 0 THEN 0.0 WHEN ramp = 0 THEN least(1.0, before / target)
-            ELSE (sqrt((1.0 - ramp) * (1.0 - ramp) + 4.0 * ramp * least(1.0, before / target)) - (1.0 - ramp)) / (2.0 * ramp) END AS position
+            ELSE (sqrt((1.0 - ramp) * (1.0 - ramp) + 4.0 * ramp * least(1.0, before / target)) - (1.0 - ramp)) / (2.0 * ramp) + 0.0 END AS position
 FROM ({MIXTURE_SQL.replace("SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken", "SELECT doc_id, size, source_size, target, ramp, CAST(before AS DOUBLE) AS before, CAST(size * copies AS BIGINT) AS taken")})""",
 }

@@ -139,9 +139,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, seed: int = 25) -> Data
 def remove_repeats(docs: DataFrame, min_words: int = 50, seed: int = 25) -> DataFrame:
     """docs without the words of repeated windows but those of each window's first occurrence, in the order of the table.
 
-    All columns are kept as they are but text, and n_chars where there is such a column.  A document
-    without repeats keeps its text to the byte; in others a removed run goes with the white space after
-    it.  Rows are never dropped; nulls stay null.
+    All columns but text are kept as they are, whatever their names.  A document without repeats keeps its
+    text to the byte; in others a removed run goes with the white space after it.  Rows are never dropped,
+    repeated rows included; nulls stay null; an empty table gives no rows.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     schema = T.StructType([docs.schema[c] for c in ("doc_id", "text", *others)])
@@ -164,8 +164,6 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, seed: int = 25) -> Data
                 edge = np.flatnonzero(np.diff(cut, prepend=~cut[:1])).tolist() + [len(cut)]
                 text = b"".join(texts[i][begins[a] if a else 0 : begins[b]] for a, b in zip(edge, edge[1:]) if not cut[a])
                 new["text"][i] = text.decode()
-                if "n_chars" in new:
-                    new["n_chars"][i] = len(new["text"][i])
             yield C.record(schema, **new)
 
     return found.mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
