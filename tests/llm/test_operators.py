@@ -349,6 +349,71 @@ def test_remove_repeats_keeps_one_of_each(spark, docs):
     assert suffix.remove_repeats(spark.createDataFrame([], K.SCHEMA)).isEmpty()
 
 
+@pytest.mark.parametrize(("k", "shortest"), [(3, 1), (20, 4), (60, 60)])
+def test_substring_levels_of_any_length(spark, docs, k, shortest):
+    """Levels that rule nothing out wrongly, whatever they are."""
+    assert all(a <= b <= 2 * a for a, b in zip(substring._levels(k, shortest), substring._levels(k, shortest)[1:]))
+    got = substring.substring_dedup(docs.where("doc_id < 60"), k, shortest).collect()
+    texts = [r for r in ROWS if r[0] is not None and r[0] < 60]
+    same([(r.doc_id, r.n_removed) for r in got], [(r[0], sum(c)) for r, c in zip(texts, K.repeated_cover([r[1] for r in texts], k))])
+
+
+def test_wide_keys_tell_colliding_hashes_apart():
+    """Equal first halves do not make keys equal, in a chunk or between chunks."""
+    h, other = np.full(4, 7, dtype=np.uint64), np.array([1, 2, 2, 3], dtype=np.uint64)
+    rows = [r for chunk in (0, 1) for b in substring.key_rows(h[chunk:] + np.uint64(0), chunk, 1, other[chunk:]) for r in b.to_pylist()]
+    assert [r["n"] for r in rows] == [3, 2] and [np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=r["n"]).tolist() for r in rows] == [[0, 1, 0], [1, 0]]
+    u, v, back, n = substring.distinct(h, other)
+    assert v.tolist() == [1, 2, 3] and back.tolist() == [0, 1, 1, 2] and n.tolist() == [1, 2, 1]
+
+
+def test_levels_end_without_candidates(spark):
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(90))) for i in range(20)], "doc_id long, text string")
+    assert all(r.n_removed == 0 and r.n_words == 90 for r in substring.substring_dedup(rows).collect())
+
+
+@pytest.mark.parametrize(("k", "seed"), [(12, 5), (9, 9)])
+def test_repeated_spans_of_any_length(spark, docs, k, seed):
+    got = suffix.repeated_spans(docs, k, seed).collect()
+    cover = K.repeated_cover([r[1] for r in ROWS], k)
+    total: Counter = Counter()
+    for r in got:
+        total[r.doc_id] += r.n_words
+    expected: Counter = Counter()
+    for r, cut in zip(ROWS, cover):
+        expected[r[0]] += sum(cut)
+    assert total == +expected
+
+
+def test_sorted_suffixes_know_their_common_prefixes():
+    """The neighbours' common prefix is the longest that any other suffix of the seed shares; sorting is by words."""
+    import pyarrow as pa
+
+    from tidepanel.llm import common as C
+
+    rng = np.random.default_rng(4)
+    w = C.words([" ".join(map(str, rng.integers(0, 2, 300))).encode(), " ".join(map(str, rng.integers(0, 2, 200))).encode()])
+    win = C.Windows(w)
+    p = win.starts(3)
+    keys = suffix.sort_keys(win, w, p, 3, 11)
+    order = np.argsort(keys, kind="stable")
+    batch = lambda at: pa.record_batch({"suffix": pa.array(keys[at].tolist(), pa.binary()), "chunk": np.zeros(len(at), np.int64), "code": at, "twice": pa.array([False] * len(at))})
+    share = {}
+    for _, code, s in suffix.neighbours(iter([batch(order[:100]), batch(order[100:101]), batch(order[101:])])):
+        share |= dict(zip(code.tolist(), s.tolist()))
+    h = w.h.tolist()
+
+    def prefix(i: int, j: int) -> int:
+        n = 0
+        while n < 11 and max(i, j) + n < len(h) and i + n < win.end[i] and j + n < win.end[j] and h[i + n] == h[j + n]:
+            n += 1
+        return n - 3 if n >= 3 else -1
+
+    for k, i in enumerate(p.tolist()):
+        if k not in (order[0], order[-1]):
+            assert share[k] == max(prefix(i, j) for j in p.tolist() if j != i)
+
+
 def test_minimisers_hit_every_window():
     from tidepanel.llm import common as C
 

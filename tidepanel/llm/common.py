@@ -211,6 +211,8 @@ _REACH = 48
 _TABLE = np.random.default_rng(20240601).integers(0, 2**64, size=(_REACH, 256), dtype=np.uint64).ravel()
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MINV = np.uint64(pow(int(_M), -1, 2**64))
+_M2, _SECOND = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_M2INV = np.uint64(pow(int(_M2), -1, 2**64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -289,15 +291,37 @@ def _words(texts: list[bytes], lower: bool) -> Words:
     return Words(first, h)
 
 
+def word_chunks(table: DataFrame) -> DataFrame:
+    """The words of a chunk table, as sorted distinct hashes and codes, so that later passes need not hash texts again."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                w = words(encoded(from_body(row["body"]).column("text").chunk(0)))
+                ids, codes = np.unique(w.h, return_inverse=True)
+                one = pa.record_batch({"first": pa.array([w.first.tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([pack_ints(codes)], pa.binary())})
+                yield record(CHUNK_SCHEMA, chunk=[row["chunk"]], n_bytes=[row["n_bytes"]], body=[to_body(one)])
+
+    return materialise(table.mapInArrow(pack, CHUNK_SCHEMA), "words")
+
+
+def read_words(body: bytes) -> Words:
+    row = from_body(body).to_pylist()[0]
+    first = np.frombuffer(row["first"], np.int64)
+    return Words(first, np.frombuffer(row["ids"], np.uint64)[unpack_ints(row["codes"], 0, int(first[-1]))[0]])
+
+
 class Windows:
     """Hashes of runs of consecutive words, of any length, from one pass of prefix sums modulo 2**64."""
 
-    def __init__(self, w: Words):
+    def __init__(self, w: Words, second: bool = False):
+        """second: hashes by another multiplier and other hashes of words, for keys of 128 bits."""
         n = len(w.h)
         self.first, self.n = w.first, n
-        powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, _M, dtype=np.uint64))))
-        self.inverse = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, _MINV, dtype=np.uint64))))
-        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(w.h * powers[:n], dtype=np.uint64)))
+        h, m, inverse = (mix(w.h ^ _SECOND), _M2, _M2INV) if second else (w.h, _M, _MINV)
+        powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, m, dtype=np.uint64))))
+        self.inverse = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, inverse, dtype=np.uint64))))
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * powers[:n], dtype=np.uint64)))
         self.end = np.repeat(w.first[1:], np.diff(w.first))
 
     def starts(self, k: int) -> np.ndarray:

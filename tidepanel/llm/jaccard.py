@@ -199,7 +199,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from key_rows(sets_of(row["body"]).keys.distinct_keys(), row["chunk"], buckets, False)
+                yield from key_rows(sets_of(row["body"]).keys.distinct_keys(), row["chunk"], buckets)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in C.groups(batches, "chunk"):
@@ -208,7 +208,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
             k, x = len(s.id), s.keys
             yield C.record(FOUND, kind=[1] * k, a=body.column("doc_id").to_pylist(), b=s.id.tolist(), n=s.size.tolist(), body=[None] * k)
             if len(x.key):
-                shared = marked(x.key, rows[1:])
+                shared, _ = marked(x.key, rows[1:])
                 enough = np.bincount(x.key_owner[shared], minlength=len(x.least)) >= x.least
                 for i in np.unique(x.key_set[shared & enough[x.key_owner]]).tolist():
                     yield C.record(FOUND, kind=[2], a=[int(x.ids[i])], b=[None], n=[int(x.sizes[i])], body=[x.shingles(i).tobytes()])
@@ -274,12 +274,12 @@ def _pruned(sets: DataFrame, tasks: int, p: int, q: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from key_rows(C.mix(shingles(C.from_body(row["body"]))), row["chunk"], buckets, False)
+                yield from key_rows(C.mix(shingles(C.from_body(row["body"]))), row["chunk"], buckets)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in C.groups(batches, "chunk"):
             body = C.from_body(rows[0]["data"])
-            shared = np.concatenate(([0], np.cumsum(marked(C.mix(shingles(body)), rows[1:]))))
+            shared = np.concatenate(([0], np.cumsum(marked(C.mix(shingles(body)), rows[1:])[0])))
             bodies = body.column("text").to_pylist()
             size = np.array([len(x) // 8 for x in bodies])
             end = np.cumsum(size)
