@@ -257,18 +257,32 @@ def test_jaccard_finds_every_link_of_a_dense_family(spark):
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], K.components(rows))
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 7, 8, 9, 12, 16, 17])
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 7, 8, 9, 12, 16, 17, 33, 70, 150, 600])
 def test_schemes_lose_no_link_of_small_sets(size):
     rng = np.random.default_rng(size)
     for _ in range(40):
         a = rng.integers(1, 2**63, size=size).astype(np.uint64)
-        keep, add = rng.integers(0, 3), rng.integers(0, 3)
+        keep, add = rng.integers(0, 3 + size // 7), rng.integers(0, 3 + size // 7)
         b = np.concatenate((a[: max(0, size - keep)], rng.integers(1, 2**63, size=add).astype(np.uint64)))
         common = len(np.intersect1d(a, b))
         if not len(b) or 4 * common < 3 * (len(a) + len(b) - common):
             continue
         k = jaccard.Keys(np.concatenate((a, b)), np.array([len(a), len(b)]), np.array([1, 2]), 3, 4)
-        assert np.intersect1d(k.key[k.key_set == 0], k.key[k.key_set == 1]).size
+        # in some scheme that both are in, both share as many keys as they must to stay
+        shared = lambda x, y: np.bincount(k.key_owner[(k.key_set == x) & np.isin(k.key, k.key[k.key_set == y])], minlength=len(k.least))
+        enough = [{int(o) for o in np.flatnonzero((shared(x, y) >= k.least) & (shared(x, y) > 0))} for x, y in ((0, 1), (1, 0))]
+        meet = set(k.key[np.isin(k.key_owner, list(enough[0]))]) & set(k.key[np.isin(k.key_owner, list(enough[1]))])
+        assert enough[0] and enough[1] and meet
+
+
+def test_modes_are_those_of_least_cost():
+    """One-deletion neighbourhoods where segments are small, whole subsets where they are not, whatever the band."""
+    plans = {1 << i: jaccard.scheme(1 << i, 3, 4) for i in range(17)}
+    assert any(x.twos for x in plans.values()) and any(not x.twos for x in plans.values())
+    for top, x in plans.items():
+        h, ones = 2 * top // 7, x.m - x.twos
+        spoilt = h if h <= ones else ones + (h - ones) // 2
+        assert x.m - spoilt >= 1 + int(jaccard.SPARE * h)
 
 
 def test_components_of_a_long_chain(spark):

@@ -6,9 +6,9 @@ universe of shingles into m segments.  Two sets that link differ in at most H sh
 + p) of the sum of their sizes for a threshold p / q, so their segments differ by at most H in all.  Each
 segment has a mode: 1 indexes its subset, which finds partners that agree on it; 2 indexes the subset
 and its one-deletion neighbourhood, which finds partners that differ by one.  By the pigeonhole
-principle some segment finds every link if the modes sum to H + 1 at least.  The modes of a band are
-those of least cost (keys, and candidates expected from segments that hold common shingles only);
-schemes of mode 1 get spare segments, so that a link agrees on many of them.
+principle some segment finds every link if the modes sum to H + 1 at least; schemes get spare segments, so
+that a link agrees on many of them.  The modes of a band are those of least cost (keys, and candidates
+expected from segments that hold common shingles only).
 
 Pass 1 finds the keys that occur in more than one place, on compact rows, one bit back for each key.
 Sets that have too few such keys for any link drop out; so do sets that share fewer than p / q of their
@@ -45,21 +45,25 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Scheme:
-    """Segments and modes of the band of sizes up to `top`: the first `twos` segments have mode 2, the rest mode 1."""
+    """Segments and modes of the band of sizes up to `top`: the first `twos` segments have mode 2, the rest mode 1.
+
+    h differences spoil at most h segments of mode 1, or half as many of mode 2; the scheme has so many
+    segments that 1 + SPARE * h are left.  Of all numbers of mode 2 the one of least cost is taken: a key for
+    each segment, one for each deletion, and the candidates expected of segments with common shingles only.
+    """
 
     def __init__(self, top: int, p: int, q: int):
         self.top = top
         h = (q - p) * 2 * top // (q + p)
-        self.spare = int(np.ceil(SPARE * h)) if h >= 8 else 0
-        need = h + 1 + self.spare
-        best = None
-        for twos in range(need // 2 + 1 if h < 64 else 1):
-            m = need - twos
-            k = top / m
-            cost = m * (1 + CANDIDATE_COST * COMMON_SHARE**k) + twos * k
-            if best is None or cost < best[0]:
-                best = (cost, twos, m)
-        _, self.twos, self.m = best
+        left = 1 + int(SPARE * h)
+        twos = np.arange(left + h // 2 + 1)
+        # with fewer of mode 2 than are to be left, every difference spoils a segment of mode 1; each one more saves two of those
+        ones = np.where(twos < left, h + left - twos, np.maximum(h - 2 * (twos - left) - 1, 0))
+        m = ones + twos
+        k = top / m
+        cost = m * (1 + CANDIDATE_COST * COMMON_SHARE**k) + twos * k
+        best = int(np.argmin(cost))
+        self.twos, self.m = best, int(m[best])
 
 
 @cache
@@ -112,7 +116,7 @@ class Keys:
         tops, which = np.unique(vtop, return_inverse=True)
         plans = [scheme(int(t), p, q) for t in tops]
         pick = lambda name: np.array([getattr(x, name) for x in plans], dtype=np.int64)[which] if len(plans) else np.zeros(0, dtype=np.int64)
-        m, twos, spare = pick("m"), pick("twos"), pick("spare")
+        m, twos = pick("m"), pick("twos")
         size = b[vset]
         most = (q - p) * (size + np.minimum(vtop, size * q // p)) // (q + p)
         base = np.concatenate(([0], np.cumsum(m)))
@@ -130,10 +134,12 @@ class Keys:
         count = np.bincount(flat, minlength=len(total))
         owner = np.repeat(np.arange(len(vset)), m)
         tag = C.mix(salt[owner] + (np.arange(len(total)) - base[owner]).astype(np.uint64))
-        empty = np.bincount(owner, weights=count == 0, minlength=len(vset)).astype(np.int64)
-        # An empty segment is a key only where the others might not do: small schemes, or many empty segments.
-        weak = (spare == 0) | (empty >= m - most)
-        use = (count > 0) | weak[owner]
+        # what a link leaves of the segments at least; an empty one of mode 1 is a key only where the others might not do
+        kept = m - np.where(most <= m - twos, most, m - twos + (most - (m - twos)) // 2)
+        double = np.arange(len(total)) - base[owner] < twos[owner]
+        empty = np.bincount(owner, weights=(count == 0) & ~double, minlength=len(vset)).astype(np.int64)
+        weak = empty >= kept
+        use = (count > 0) | weak[owner] | double
         two = seg < twos[v]
         self.key = np.concatenate((C.mix(total[use] + tag[use]), C.mix(total[flat[two]] - val[two] + tag[flat[two]])))
         self.key_owner = np.concatenate((owner[use], v[two]))
@@ -143,7 +149,7 @@ class Keys:
         self.need = np.where(twos[: len(b)] > 0, np.int64(1) << 40, (q - p) * 2 * b // (q + p) + 1)
         self.n_own = np.bincount(self.key_owner, minlength=len(vset))[: len(b)]
         #: a set drops out of a scheme with fewer shared keys than this
-        self.least = np.where((twos > 0) | (spare == 0), 1, np.maximum(1, m - most - np.where(weak, 0, empty)))
+        self.least = np.maximum(1, kept - empty)
 
     def distinct_keys(self) -> np.ndarray:
         """Keys, one for each set that has it."""
@@ -261,7 +267,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     own = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     own = C.materialise(own, "members", free=False)
     C.discard(found, sets)
-    least = own.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # written for the same reason: a component may hold a third of all documents
+    least = C.materialise(own.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least", free=False)
     return own.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "set_id")
 
 
@@ -321,9 +328,11 @@ def _finished(members: DataFrame, needs: DataFrame, labels: DataFrame, sets: Dat
     """
     everyone = sets.select("set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     everyone = C.materialise(everyone, "everyone", free=False)
-    known = C.materialise(members.join(everyone, "set_id").groupBy("key", "label").agg(F.collect_list(F.when(F.col("mine"), F.col("set_id"))).alias("mine")), "known", free=False)
-    mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.min("label").alias("low")).where("labels > 1")
-    own = known.join(mixed, "key").select("key", "labels", "label", F.explode("mine").alias("set_id"))
+    tagged = C.materialise(members.join(everyone, "set_id").select("key", "label", "set_id", "mine"), "tagged", free=False)
+    known = C.materialise(tagged.select("key", "label").distinct(), "known", free=False)
+    # written, so that both sides of the joins are plain exchanges, whose hot keys adaptive execution splits
+    mixed = C.materialise(known.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.min("label").alias("low")).where("labels > 1"), "mixed", free=False)
+    own = tagged.where("mine").join(mixed, "key").select("key", "labels", "label", "set_id")
     spent = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("open")).join(needs, "set_id").select("set_id", (F.col("need") - (F.col("own") - F.col("open"))).alias("left")).where("left > 0")
     turn = F.row_number().over(Window.partitionBy("set_id").orderBy("labels", "key"))
     chosen = own.join(spent, "set_id").withColumn("turn", turn).where(F.col("turn") <= F.col("left")).select("key")
