@@ -165,6 +165,23 @@ def test_neutralised(spark):
     pdf = pd.DataFrame({"date": pd.Timestamp("2024-01-01").date(), "code": [f"{i:02d}" for i in range(40)], "z": z, "score": 2 * z + 1})
     got = R.neutralised(spark.createDataFrame(pdf), "score", ["z"]).toPandas()
     assert np.abs(got.score).max() < 1e-9
+    holes = pdf.assign(z=np.where(np.arange(40) == 3, np.nan, z), score=np.where(np.arange(40) == 5, np.nan, pdf.score))
+    rows = spark.createDataFrame(holes).selectExpr("date", "code", "nanvl(z, null) z", "nanvl(score, null) score")
+    found = R.neutralised(rows, "score", ["z"]).where("score is null").collect()
+    assert {r.code for r in found} == {"03", "05"} and R.neutralised(rows.where("code < '04'"), "score", ["z"]).where("score is not null").isEmpty()
+
+
+def test_risk_by_factor(spark):
+    """Shares sum to one, and a market of one factor has them all."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8, 2))
+    shares = R.factor_shares(np.full(8, 1 / 8), x, np.eye(2), np.full(8, 0.5), ["a", "b"])
+    b = np.where(np.isfinite(x), x, 0).mean(axis=0).T @ np.full(8, 1 / 8)
+    assert sum(shares.values()) == pytest.approx(1) and shares["specific"] == pytest.approx(0.5 / 8 / (b @ b + 0.5 / 8))
+    assert R.factor_shares(np.zeros(8), x, np.eye(2), np.zeros(8), ["a", "b"]) == {"a": 0.0, "b": 0.0, "specific": 1.0}
+    pdf = pd.DataFrame([("y", d, f"{c:02d}", float(m), float(e)) for d, m in enumerate(rng.normal(size=40)) for c, e in enumerate(rng.normal(size=12))], columns=["y", "date", "code", "ret", "e"])
+    got = {r.factor: r.share for r in R.attributed_risk(spark.createDataFrame(pdf), "y", "ret", ["e"]).collect()}
+    assert got["market"] > 0.99 and sum(got.values()) == pytest.approx(1)
 
 
 def test_books(spark):

@@ -67,3 +67,57 @@ def test_entry_points():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and "weight_nav" in queries and len(queries) >= 80
+
+
+def test_swaps_survive_a_crash(spark, tmp_path):
+    """Whatever moment a swap stops at, the old or the new table is there afterwards."""
+    import os
+
+    path, rows = f"{tmp_path}/t", lambda n: spark.range(n).coalesce(1)
+    sinks.swap(rows(3), path)
+    sinks.swap(rows(4), path)
+    assert spark.read.parquet(path).count() == 4 and not os.path.exists(f"{path}.old")
+    rows(5).write.parquet(f"{path}.new")
+    os.rename(path, f"{path}.old")  # a crash between the two renames
+    sinks.recover(spark, path)
+    assert spark.read.parquet(path).count() == 5
+    os.rename(path, f"{path}.old2")
+    sinks.recover(spark, path)  # only the old one is left
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_first_and_last_rows_are_certain(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (1, "c", 1)], "k int, v string, o int").repartition(3)
+    none = rows.limit(0)
+    from tidepanel.operators import books
+
+    assert [tuple(r) for r in books.insert_once(none, rows, ["k"]).collect()] == [(1, "a", 2)]
+    assert [tuple(r) for r in books.insert_once(none, rows, ["k"], ["o"]).collect()] == [(1, "c", 1)]
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k int, v string, o int").parquet(f"{tmp_path}/in")
+    incremental.upsert_stream(stream, f"{tmp_path}/out", ["k"], f"{tmp_path}/cp", ["o"]).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, "b", 2)]
+
+
+def test_funds_and_rules(spark):
+    from tidepanel.operators import funds
+
+    rows = [("1", "成长混合", "混合型-偏股"), ("1", "成长混合", "混合型-偏股"), ("2", "债券A", "债券型"), ("3", "科技ETF", "指数型"), ("4", None, "股票型"), ("5", "消费", None), ("6", "消费QDII", "QDII-股票")]
+    table = spark.createDataFrame(rows, "code string, name string, type string")
+    assert sorted(r.code for r in funds.fund_universe(table).collect()) == ["1", "4", "6"]
+    assert [r.code for r in funds.fund_universe(table, keywords=["消费"]).collect()] == ["6"]
+    fees = spark.createDataFrame([("1", 2, "大于等于7天，小于30天", 0.0075), ("1", 1, "小于7天", 0.015), ("1", 3, "大于等于30天", None), ("1", 4, " ", 0.1)], "code string, seq int, period string, rate double")
+    got = funds.redemption_rules(fees).first().rules
+    assert got == '[{"period":"小于7天","rate":0.015,"max_days_exclusive":7},{"period":"大于等于7天，小于30天","rate":0.0075,"min_days":7,"max_days_exclusive":30}]'
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    from tidepanel.sources.store import precomputed
+
+    path = f"{tmp_path}/x"
+    spark.range(5).write.parquet(path)
+    built = []
+    count = lambda: precomputed(spark.read.parquet(path), "n", lambda df: built.append(1) or df.selectExpr("id * 2 as id")).count()
+    assert (count(), count(), len(built)) == (5, 5, 1)
+    spark.range(7).write.mode("overwrite").parquet(path)
+    assert (count(), len(built)) == (7, 2)

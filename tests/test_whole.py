@@ -12,6 +12,7 @@ import pytest
 from tidepanel.operators.execution import Book, Quote
 from tidepanel.operators.portfolio import weights_from_returns
 from tidepanel.plans import backtest, sweeps
+from tidepanel.plans import more_queries as M
 from tidepanel.plans import queries as Q
 
 SUPPLIERS, WEEKS = 12, 60
@@ -143,22 +144,57 @@ def test_risk_parity_weighs_every_code(spark, wide):
     assert len(got) == 240 and got == {k: pytest.approx(w, abs=2e-6) for k, w in want.items()}
 
 
-def test_event_strategies_take_the_strongest():
-    """More crosses than slots go to the strongest, and risk parity takes the codes of largest am20, whatever their names."""
-    x = {"a": [3.0, 2.0, 1.0, 3.0], "b": [3.0, 2.0, 1.0, 9.0], "c": [3.0, 2.0, 1.0, 5.0], "d": [3.0, 2.0, 1.0, 99.0]}
-    quotes = {c: Quote(close=v[-1], am20=m) for (c, v), m in zip(x.items(), (1.0, 4.0, None, 3.0))}
-    quotes["d"].close = None  # not traded on the signal day
-    cross, ctx = backtest.GoldenCross(), backtest.Context(Book(1.0), x, quotes)
+def _context(book: Book, closes: dict, day: str = "2024-01-08", **more) -> backtest.Context:
+    """A context whose codes all trade, but what `more` says of them; the day is a Monday."""
+    before = {c: Quote(open=x[-1], close=x[-1], am20=1e6, turnover=1.0) for c, x in closes.items()}
+    today = {c: Quote(open=x[-1]) for c, x in closes.items()}
+    for c, changes in more.items():
+        for k, v in changes.items():
+            setattr(before[c], k, v)
+            setattr(today[c], k, v)
+    return backtest.Context(book, closes, before, today, pd.Timestamp(day))
+
+
+def test_golden_cross_takes_the_widest():
+    """More crosses than places go to the widest, whatever their names; crosses downwards are left, and their place is free the day after."""
+    up, down = [3.0, 3.0, 2.0, 1.0], [1.0, 1.0, 2.0, 3.0]
+    x = {"a": [*up, 3.0], "b": [*up, 9.0], "c": [*up, 5.0], "d": [*up, 99.0], "h": [*down, 0.5], "s": [9.0, 9.0]}
+    cross = backtest.GoldenCross()
     cross.init({"short": 1, "long": 3, "top_n": 2})
+    ctx = _context(Book(1.0), x, d={"turnover": 0.0})
     cross.on_bar(ctx, 1)
     assert ctx.orders == {"b": ("percent", 0.5, None), "c": ("percent", 0.5, None)}
-    ctx = backtest.Context(Book(1.0, {"z": 100}), x, quotes)
+    ctx = _context(Book(1.0, {"h": 100}), x, d={"open": None}, c={"open": None})
+    cross.on_bar(ctx, 1)
+    assert ctx.orders == {"h": ("percent", 0.0, None), "b": ("percent", 0.5, None)}
+    cross.init({"short": 1, "long": 3, "top_n": 1})
+    ctx = _context(Book(1.0), x, d={"close": None})
     cross.on_bar(ctx, 1)
-    assert set(ctx.orders) == {"b"}
-    parity, ctx = backtest.RiskParity(), backtest.Context(Book(1.0), x, {**quotes, "d": Quote(close=99.0, am20=3.0)})
-    parity.init({"window": 3, "most": 2, "every": 1})
+    assert ctx.orders == {"b": ("percent", 0.5, None)}  # one place, at most half of the value
+
+
+def test_risk_parity_and_long_short_on_mondays():
+    rng = np.random.default_rng(1)
+    x = {c: (10 * np.exp(np.cumsum(rng.normal(0.001 * i, 0.01 * (i + 1), 30)))).tolist() for i, c in enumerate("abcdefgh")}
+    parity = backtest.RiskParity()
+    parity.init({"window": 20, "top_n": 3, "max_weight": 0.9})
+    ctx = _context(Book(1.0, {"a": 100}), x, f={"am20": 9e6}, g={"am20": 8e6}, c={"am20": 7e6})
     parity.on_bar(ctx, 1)
-    assert set(ctx.orders) == {"b", "d"}
+    want = weights_from_returns(np.array([np.diff(x[c][-21:]) / np.array(x[c][-21:-1]) for c in "fgc"]).T, list("fgc"), "risk_parity", 0.9)
+    assert {c: o[1] for c, o in ctx.orders.items()} == {"a": 0.0, **{c: pytest.approx(w) for c, w in want.items()}}
+    pairs = backtest.LongShortMomentum()
+    pairs.init({"window": 20, "long_n": 2, "short_n": 1})
+    ctx = _context(Book(1.0, {"zz": 5, "a": 7}), x)
+    pairs.on_bar(ctx, 1)
+    order = sorted(x, key=lambda c: x[c][-1] / x[c][-21])
+    want = {"zz": ("shares", 0, None), "a": ("shares", 0, None)} | {c: ("percent", 0.25, None) for c in order[-2:]} | {order[0]: ("percent", -0.5, None)}
+    assert ctx.orders == want
+    for strategy in (parity, pairs):
+        ctx = _context(Book(1.0, {"a": 100}), x, day="2024-01-09")
+        strategy.on_bar(ctx, 1)
+        assert not ctx.orders
+    ctx = _context(Book(1.0), x, a={"limit_up": True}, b={"limit_down": True}, c={"open": None})
+    assert [ctx.can_buy(c) for c in "abcd"] == [False, True, False, True] and [ctx.can_sell(c) for c in "abcd"] == [True, False, False, True]
 
 
 def test_price_limits_act(spark, wide):
@@ -170,16 +206,47 @@ def test_price_limits_act(spark, wide):
 
 # ---------------------------------------------------------------- sweeps
 def test_heatmap_of_a_grid(spark, wide):
+    """Each fold is a run of its own: capital whole at its start, prices before it for the averages only."""
     rows = Q.quotes(spark, wide).toPandas()
     days, want = sorted(set(rows.date)), {}
     for name, params in sweeps.cross_grid([3, 5], [8, 13], capital=1e7).items():
-        nav = backtest.event_backtest(rows.assign(scenario_id=name, params=json.dumps(params))).set_index("date").nav
-        folds = [nav[(nav.index >= lo) & (nav.index <= hi)] for lo, hi in sweeps.split_windows(days, 4)]
-        want[name] = np.mean([x.iloc[-1] / x.iloc[0] - 1 for x in folds])
+        totals = []
+        for lo, hi in sweeps.split_windows(days, 4):
+            cut = rows[rows.date <= hi]
+            nav = backtest.event_backtest(cut.assign(scenario_id=name, params=json.dumps({**params, "start": str(lo)}))).set_index("date").nav
+            assert nav.index.min() == lo and nav.index.max() == hi and nav.iloc[0] == pytest.approx(1.0, abs=0.2)
+            totals.append(nav.iloc[-1] / nav.iloc[0] - 1)
+        want[name] = np.mean(totals)
     got = {f"{r.short}x{c}": r[c] for r in Q.cross_heatmap(spark, wide).collect() for c in ("8", "13")}
     assert got == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} and any(want.values())
 
 
+def test_trades_account_for_the_cash(spark, wide):
+    """Fills explain every change of cash, holdings and cash the value, and refused orders have a reason."""
+    runs, quotes = M._runs(spark, wide)
+    runs = runs.cache()
+    cash = {(r.scenario_id, r.date): (r.cash, r.nav) for r in runs.collect()}
+    moved: dict = defaultdict(float)
+    for r in backtest.fills(runs).collect():
+        moved[r.scenario_id, r.date] += (-r.amount if r.side == "buy" else r.amount) - r.fee
+    for name in ("stock", "etf"):
+        now = 1e7
+        for day in sorted(d for k, d in cash if k == name):
+            now += moved[name, day]
+            assert cash[name, day][0] == pytest.approx(now, abs=0.01)
+    share: dict = defaultdict(float)
+    worth: dict = defaultdict(float)
+    for r in backtest.holdings(runs, quotes).collect():
+        share[r.scenario_id, r.date] += r.weight
+        worth[r.scenario_id, r.date] += r.shares * r.price
+    assert worth and all(cash[k][1] * 1e7 == pytest.approx(cash[k][0] + v, abs=0.01) and share[k] == pytest.approx(v / (cash[k][0] + v)) for k, v in worth.items())
+    assert all(r.reason for r in backtest.rejections(runs).collect())
+
+
+def test_paper_runs_write_each_day_once(spark, wide):
+    assert {tuple(r) for r in M.paper_run(spark, wide).collect()} == {("cash", True, 0), ("events", True, 0)}
+
+
 def test_rolling_choice(spark):
     rows = [("a", 0, 0.1, 1.0), ("b", 0, 0.2, 2.0), ("a", 1, 0.3, 3.0), ("b", 1, -0.1, None), ("a", 2, 0.5, 1.0), ("b", 2, 0.4, 0.5)]
     found = sweeps.rolling_choice(spark.createDataFrame(rows, "scenario_id string, fold int, total double, sharpe double"))

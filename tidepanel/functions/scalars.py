@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Price limit of a board by the leading digits of its codes; other codes have 10 %.
-LIMIT_RATIOS = {"30": 0.20, "68": 0.20, "4": 0.30, "8": 0.30, "92": 0.30}
+# Price limit of a board by the leading digits of its codes; 1.0 (funds) is no limit, other codes have 10 %.
+LIMIT_RATIOS = {"5": 1.0, "15": 1.0, "16": 1.0, "18": 1.0, "300": 0.20, "301": 0.20, "688": 0.20, "689": 0.20, "8": 0.30, "4": 0.30, "920": 0.30}
 # Redemption fee by days held; none from 365 days on.
 REDEMPTION_TIERS = ((7, 0.015), (30, 0.0075), (365, 0.005))
 

@@ -73,9 +73,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return dedupe_last(both, keys, [F.col("_r")]).drop("_r")
 
 
-def insert_once(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old and those rows of new whose key it hasn't, the first of each key."""
-    first = dedupe_last(new, keys, [F.lit(1)])
+def first_rows(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The first row of each key by `order`, then by all other columns that can be compared, so that it is always the same one."""
+    rest = [F.asc_nulls_last(c) for c in [*(order or []), *(x for x, kind in rows.dtypes if x not in keys and not kind.startswith("map"))]]
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*(rest or [F.lit(0)])))
+    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def insert_once(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """old and those rows of new whose key it hasn't: of each key the first by `order`, then by all columns."""
+    first = first_rows(new, keys, order)
     return old.unionByName(first.join(old.select(*keys), keys, "left_anti"))
 
 
@@ -90,6 +97,16 @@ def archive_list(archive: DataFrame, limit: int = 50, kind: str | None = None) -
     return rows.orderBy(F.desc("created_at"), "run_id").limit(limit)
 
 
+def archive_get(archive: DataFrame, run_id: str) -> DataFrame:
+    """The run of an id, if there is one."""
+    return archive.where(F.col("run_id") == run_id)
+
+
+def archive_delete(archive: DataFrame, run_id: str) -> DataFrame:
+    """The archive without a run."""
+    return archive.where(~F.col("run_id").eqNullSafe(run_id))
+
+
 def latest_runs(archive: DataFrame) -> DataFrame:
     """name, runs, params and metrics of the latest run of each strategy name in the archive's parameters."""
     named = archive.withColumn("name", F.coalesce(F.nullif(F.get_json_object("params", "$.strategy"), F.lit("")), F.get_json_object("params", "$.factor"), F.lit("")))

@@ -66,6 +66,18 @@ def group_spread(by_date: DataFrame, horizon: int, days: int = DAYS) -> DataFram
     return means.agg(F.max_by("ret", "bucket").alias("top"), F.min_by("ret", "bucket").alias("bottom")).select("top", "bottom", (F.col("top") - F.col("bottom")).alias("spread"), ((F.col("top") - F.col("bottom")) * (days / horizon)).alias("annual_spread"))
 
 
+def directed(summary: DataFrame, ascending: bool, *values: str) -> DataFrame:
+    """Values of a factor's quality with the sign of its direction: a factor whose low values are good counts the other way round."""
+    return summary.withColumns({v: F.col(v) * (-1.0 if ascending else 1.0) for v in values})
+
+
+def alignment(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
+    """n, mismatches and max_diff of a value over the keys that both tables have."""
+    both = a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys)
+    diff = F.abs(F.col("x") - F.col("y"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(diff > tolerance).alias("mismatches"), F.max(diff).alias("max_diff"))
+
+
 def turnover(by_bucket: DataFrame) -> DataFrame:
     """The share of a bucket's codes that were not in it on the date before (t_idx, code, bucket)."""
     before = by_bucket.select((F.col("t_idx") + 1).alias("t_idx"), "code", "bucket", F.lit(1).alias("_was"))

@@ -96,11 +96,11 @@ def open_to_open(panel: DataFrame) -> DataFrame:
 
 
 def limit_flags(panel: DataFrame, slack: float = 0.005) -> DataFrame:
-    """limit_up, limit_down and one-price boards by the board's limit."""
+    """limit_up and limit_down by the board's limit, and one-price boards: a limit day that closes no better than it opened."""
     ret, limit = change("close"), limit_ratio(F.col("code")) - slack
     rows = panel.withColumns({"limit_up": F.coalesce(ret >= limit, F.lit(False)), "limit_down": F.coalesce(ret <= -limit, F.lit(False))})
-    flat = F.coalesce((F.col("high") - F.col("low")) <= 1e-9, F.lit(False))
-    return rows.withColumns({"one_price_up": F.col("limit_up") & flat, "one_price_down": F.col("limit_down") & flat})
+    up, down = (F.coalesce(c, F.lit(False)) for c in (F.col("open") >= F.col("close") - 1e-6, F.col("open") <= F.col("close") + 1e-6))
+    return rows.withColumns({"one_price_up": F.col("limit_up") & up, "one_price_down": F.col("limit_down") & down})
 
 
 def composite_stock() -> Column:

@@ -42,6 +42,19 @@ def board_excluded(code: Column) -> Column:
     return code.rlike("^(300|301|688|689)")
 
 
+def recent(rows: DataFrame, days: int, date: str = "date") -> DataFrame:
+    """The rows of the last `days` days before the latest date; all rows where that leaves none."""
+    edge = F.broadcast(rows.agg(F.max(date).alias("_edge")))
+    marked = rows.join(edge).withColumn("_in", F.coalesce(F.col(date) >= F.date_sub("_edge", days), F.lit(False)))
+    some = F.broadcast(marked.agg(F.max("_in").alias("_some")))
+    return marked.join(some).where(F.col("_in") | ~F.coalesce(F.col("_some"), F.lit(False))).drop("_edge", "_in", "_some")
+
+
+def last_counts(rows: DataFrame, by: list[str], date: str = "date", limit: int = 30) -> DataFrame:
+    """Rows by date and label, those of the latest dates first."""
+    return rows.groupBy(date, *by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(date), *by).limit(limit)
+
+
 def order_of(score: Column, ascending: bool) -> list[Column]:
     """The order of selection: ties go to the smaller code in ascending order, to the larger in descending order."""
     return [score.asc_nulls_last(), F.col("code").asc()] if ascending else [score.desc_nulls_last(), F.col("code").desc()]

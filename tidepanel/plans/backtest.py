@@ -109,8 +109,12 @@ def benchmark_nav(panel: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- day by day
+MOST_SCENARIOS = 10_000
 QUOTES = ["scenario_id", "params", "t_idx", "date", "code", "open", "close", "am20", "turnover", "limit_up", "limit_down", "stop", "target", "cut"]
-NAV = "scenario_id string, date date, nav double, cash double, positions map<string,double>, n_fills int, n_rejected int"
+NAV = (
+    "scenario_id string, date date, nav double, cash double, positions map<string,double>, n_fills int, n_rejected int, "
+    "fills array<struct<code: string, side: string, shares: double, price: double, amount: double, fee: double>>, rejections array<struct<code: string, side: string, reason: string>>"
+)
 
 
 def _days(pdf: pd.DataFrame):
@@ -133,6 +137,40 @@ def _held(book: Book) -> dict[str, float]:
     return {c: float(n) for c, n in book.positions.items()}
 
 
+def _traded(fills: list, rejections: list) -> tuple:
+    """The last four columns of a day."""
+    return len(fills), len(rejections), [{"code": f.code, "side": f.side, "shares": float(f.shares), "price": float(f.price), "amount": float(f.amount), "fee": float(f.fee)} for f in fills], [{"code": c, "side": s, "reason": why} for c, s, why in rejections]
+
+
+def _output(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["scenario_id", "date", "nav", "cash", "positions", "n_fills", "n_rejected", "fills", "rejections"])
+
+
+def fills(runs: DataFrame) -> DataFrame:
+    """scenario_id, date and each trade of the runs: code, side, shares, price, amount, fee."""
+    return runs.select("scenario_id", "date", F.explode("fills").alias("f")).select("scenario_id", "date", "f.*")
+
+
+def rejections(runs: DataFrame) -> DataFrame:
+    """scenario_id, date and each order that was not filled: code, side, reason."""
+    return runs.select("scenario_id", "date", F.explode("rejections").alias("r")).select("scenario_id", "date", "r.*")
+
+
+def holdings(runs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """scenario_id, date, code, shares, price (the last known close) and weight of what each run holds at each day's end."""
+    held = runs.select("scenario_id", "date", "nav", "cash", F.explode("positions").alias("code", "shares")).where("shares <> 0")
+    # every code has a row on every date, so a close carries along the code's own window
+    last = quotes.select("date", "code", F.last(F.when(F.col("close") > 0, F.col("close")), ignorenulls=True).over(Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("price"))
+    rows = held.join(last, ["date", "code"], "left").withColumn("value", F.col("shares") * F.col("price"))
+    total = F.sum("value").over(Window.partitionBy("scenario_id", "date")) + F.col("cash")
+    return rows.select("scenario_id", "date", "code", "shares", "price", F.try_divide(F.col("value"), total).alias("weight"))
+
+
+def _warming(params: dict, day) -> bool:
+    """Is a day before `start`, if the run has one?  Prices count in the warm-up; nothing is traded or returned, so capital is whole at the start."""
+    return str(day)[:10] < params.get("start", "")
+
+
 def _profile(params: dict) -> Profile:
     return profile(params.get("asset", "stock"), **params.get("costs", {}))
 
@@ -146,12 +184,13 @@ def cash_backtest(pdf: pd.DataFrame) -> pd.DataFrame:
     params = json.loads(pdf["params"].iloc[0])
     p, capital = _profile(params), float(params.get("capital", 1e6))
     book, last, before, out = Book(capital), {}, {}, []
-    start = params.get("start")
     for t, day, rows in _days(pdf):
         quotes = _quotes(rows)
+        if _warming(params, day):
+            last |= {c: q.close for c, q in quotes.items() if q.close and q.close > 0}
+            before = quotes
+            continue
         n0, r0 = len(book.fills), len(book.rejections)
-        if start is not None and t == int(start):
-            book.cash, book.positions = capital, {}
         if t and params.get("stops"):
             book.stop_out(p, before, quotes)
         target = {c: _clean(r.get("target")) for c, r in rows.items()}
@@ -161,16 +200,16 @@ def cash_backtest(pdf: pd.DataFrame) -> pd.DataFrame:
             cut = next((_clean(r.get("cut")) for r in rows.values() if _clean(r.get("cut")) is not None), None)
             book.rebalance(ordered, book.value(last.get), p, quotes, cut, params.get("max_weight"))
         last |= {c: q.close for c, q in quotes.items() if q.close and q.close > 0}
-        out.append((pdf["scenario_id"].iloc[0], day, book.value(last.get) / capital, book.cash, _held(book), len(book.fills) - n0, len(book.rejections) - r0))
+        out.append((pdf["scenario_id"].iloc[0], day, book.value(last.get) / capital, book.cash, _held(book), *_traded(book.fills[n0:], book.rejections[r0:])))
         before = quotes
-    return pd.DataFrame(out, columns=["scenario_id", "date", "nav", "cash", "positions", "n_fills", "n_rejected"])
+    return _output(out)
 
 
 class Context:
-    """What an event strategy sees and asks for: closes up to the signal day, positions, orders for the next open."""
+    """What an event strategy sees and asks for: closes up to the signal day, positions, who can trade at the next open, orders for it."""
 
-    def __init__(self, book: Book, history: dict[str, list[float]], quotes: dict[str, Quote]):
-        self.book, self.history, self.quotes = book, history, quotes
+    def __init__(self, book: Book, history: dict[str, list[float]], quotes: dict[str, Quote], today: dict[str, Quote] | None = None, day=None):
+        self.book, self.history, self.quotes, self.today, self.day = book, history, quotes, quotes if today is None else today, day
         self.orders: dict[str, tuple[str, float, float | None]] = {}
 
     def codes(self) -> list[str]:
@@ -179,12 +218,47 @@ class Context:
     def position(self, code: str) -> float:
         return self.book.positions.get(code, 0)
 
+    def last_close(self, code: str) -> float | None:
+        return (self.closes(code, 1) or [None])[0]
+
+    def position_value(self, code: str) -> float:
+        return self.position(code) * (self.last_close(code) or 0.0)
+
+    def value(self) -> float:
+        return self.book.value(self.last_close)
+
     def closes(self, code: str, n: int) -> list[float]:
         return self.history.get(code, [])[-n:]
 
+    def _opens(self, code: str) -> bool:
+        q = self.today.get(code)
+        return bool(q and q.open and q.open > 0)
+
     def is_tradable(self, code: str) -> bool:
+        """A close and a turnover on the signal day, and an open on the day of execution."""
         q = self.quotes.get(code)
-        return bool(q and q.close and q.close > 0)
+        return bool(q and q.close and q.close > 0 and q.turnover and q.turnover > 0 and self._opens(code))
+
+    def tradable(self) -> list[str]:
+        return [c for c in self.codes() if self.is_tradable(c)]
+
+    def can_buy(self, code: str) -> bool:
+        return self._opens(code) and not self.today[code].limit_up
+
+    def can_sell(self, code: str) -> bool:
+        return self._opens(code) and not self.today[code].limit_down
+
+    def optimised(self, codes: list[str], window: int, cap: float, method: str = "risk_parity", **options) -> dict[str, float]:
+        """Weights from the last `window` returns of those codes that have so many; none from fewer than two returns or codes."""
+        import numpy as np
+
+        from ..operators.portfolio import weights_from_returns
+
+        known = [c for c in codes if len(self.closes(c, window + 1)) == window + 1]
+        if not known or window < 2:
+            return {}
+        x = np.array([self.closes(c, window + 1) for c in known])
+        return weights_from_returns((x[:, 1:] / x[:, :-1] - 1).T, known, method, cap, **options)
 
     def target_percent(self, code: str, share: float, limit: float | None = None) -> None:
         self.orders[code] = ("percent", max(-1.0, min(1.0, share)), limit)
@@ -207,58 +281,56 @@ class EventStrategy:
 
 
 class GoldenCross(EventStrategy):
-    """Hold, in equal parts, at most top_n codes whose short average lies above the long one; enter on a cross, the strongest of the day first."""
+    """Hold at most top_n codes: enter where the short average crosses the long one upwards, the widest cross first, leave where it crosses downwards.
+
+    A place is free from the day after its holder was sold; a code gets an equal part, max_weight at most.
+    """
 
     def on_bar(self, ctx: Context, t: int) -> None:
         a, b, k = self.params.get("short", 5), self.params.get("long", 20), self.params.get("top_n", 3)
-        crosses = []
-        for code in ctx.codes():
-            x = ctx.closes(code, b + 1)
-            if len(x) < b + 1:
-                continue
-            now, was = sum(x[-a:]) / a - sum(x[-b:]) / b, sum(x[-a - 1 : -1]) / a - sum(x[:-1]) / b
-            if ctx.position(code) and now < 0 <= was:
+
+        def spreads(code: str) -> tuple[float, float] | None:
+            x = ctx.closes(code, b + 2)
+            return (sum(x[-a - 1 : -1]) / a - sum(x[-b - 1 : -1]) / b, sum(x[-a:]) / a - sum(x[-b:]) / b) if len(x) == b + 2 else None
+
+        for code in list(ctx.book.positions):
+            if (s := spreads(code)) and s[1] < 0 <= s[0]:
                 ctx.target_percent(code, 0.0)
-            elif not ctx.position(code) and was <= 0 < now and ctx.is_tradable(code):
-                crosses.append((now, code))
-        for _, code in sorted(crosses, reverse=True)[: max(0, k - len(ctx.book.positions))]:
-            ctx.target_percent(code, 1.0 / k)
+        crosses = [(s[1], code) for code in ctx.tradable() if ctx.position(code) <= 0 and (s := spreads(code)) and s[0] <= 0 < s[1]]
+        free = max(0, k - sum(n > 0 for n in ctx.book.positions.values()))
+        for _, code in sorted(crosses, reverse=True)[:free]:
+            ctx.target_percent(code, min(self.params.get("max_weight", 0.5), 1.0 / k))
 
 
 class RiskParity(EventStrategy):
-    """Every `every` days, weights of equal risk over the last `window` returns, for the `most` codes of largest am20 on the signal day."""
+    """On every `weekday` (0, Monday), weights of equal risk over the last `window` returns for the top_n tradable codes of largest am20."""
 
     def on_bar(self, ctx: Context, t: int) -> None:
-        import numpy as np
-
-        from ..operators.portfolio import weights_from_returns
-
-        n = self.params.get("window", 20)
-        if t % self.params.get("every", 20):
-            return
-        codes = [c for c in ctx.codes() if len(ctx.closes(c, n + 1)) == n + 1 and ctx.is_tradable(c)]
-        codes = sorted(codes, key=lambda c: (-(ctx.quotes[c].am20 or 0.0), c))[: self.params.get("most", 30)]
-        if len(codes) < 2:
+        if ctx.day.weekday() != self.params.get("weekday", 0):
             return
-        x = np.diff(np.log(np.array([ctx.closes(c, n + 1) for c in codes])), axis=1).T
-        w = weights_from_returns(x, codes, self.params.get("method", "risk_parity"), self.params.get("max_weight", 0.5))
-        for c in {*codes, *ctx.book.positions}:
-            ctx.target_percent(c, w.get(c, 0.0))
+        codes = sorted(ctx.tradable(), key=lambda c: (-(ctx.quotes[c].am20 or 0.0), c))[: self.params.get("top_n", 5)]
+        weights = ctx.optimised(codes, self.params.get("window", 60), self.params.get("max_weight", 0.4), self.params.get("method", "risk_parity"))
+        for code in {*ctx.book.positions, *weights} if weights else ():
+            ctx.target_percent(code, weights.get(code, 0.0))
 
 
 class LongShortMomentum(EventStrategy):
-    """Every `every` days, long the best and short the worst by the change over `window` closes."""
+    """On every `weekday` (0, Monday), leave everything, then long the long_n best and short the short_n worst by the change over `window` closes, each side to its part of the value."""
 
     def on_bar(self, ctx: Context, t: int) -> None:
-        n, k = self.params.get("window", 20), self.params.get("top_n", 3)
-        if t % self.params.get("every", 5):
+        p = self.params
+        n, longs, shorts = p.get("window", 20), p.get("long_n", 3), p.get("short_n", 3)
+        if ctx.day.weekday() != p.get("weekday", 0):
             return
-        moves = sorted((x[-1] / x[0] - 1, c) for c in ctx.codes() if len(x := ctx.closes(c, n + 1)) == n + 1)
-        if len(moves) < 2 * k:
+        moves = sorted((x[-1] / x[0] - 1, c) for c in ctx.tradable() if len(x := ctx.closes(c, n + 1)) == n + 1)
+        if len(moves) < longs + shorts:
             return
-        want = {c: 1.0 / k for _, c in moves[-k:]} | {c: -1.0 / k for _, c in moves[:k]}
-        for c in {*want, *ctx.book.positions}:
-            ctx.target_percent(c, want.get(c, 0.0))
+        for code in ctx.book.positions:
+            ctx.target_shares(code, 0)
+        for _, code in moves[len(moves) - longs :]:
+            ctx.target_percent(code, p.get("long_notional", 0.5) / longs)
+        for _, code in moves[:shorts]:
+            ctx.target_percent(code, -p.get("short_notional", 0.5) / shorts)
 
 
 STRATEGIES: dict[str, type[EventStrategy]] = {"golden_cross": GoldenCross, "risk_parity": RiskParity, "long_short_momentum": LongShortMomentum}
@@ -274,8 +346,9 @@ def event_backtest(pdf: pd.DataFrame, strategy: type[EventStrategy] | None = Non
     for t, day, rows in _days(pdf):
         quotes = _quotes(rows)
         n0, r0 = len(book.fills), len(book.rejections)
-        if t:
-            ctx = Context(book, history, before)
+        warming = _warming(params, day)
+        if t and not warming:
+            ctx = Context(book, history, before, quotes, day)
             user.on_bar(ctx, t)
             value = max(book.value(last.get), 1.0)
             want = []
@@ -290,9 +363,12 @@ def event_backtest(pdf: pd.DataFrame, strategy: type[EventStrategy] | None = Non
             if q.close and q.close > 0:
                 last[c] = q.close
                 history.setdefault(c, []).append(q.close)
-        out.append((pdf["scenario_id"].iloc[0], day, book.value(last.get) / capital, book.cash, _held(book), len(book.fills) - n0, len(book.rejections) - r0))
+        if warming:
+            before = quotes
+            continue
+        out.append((pdf["scenario_id"].iloc[0], day, book.value(last.get) / capital, book.cash, _held(book), *_traded(book.fills[n0:], book.rejections[r0:])))
         before = quotes
-    return pd.DataFrame(out, columns=["scenario_id", "date", "nav", "cash", "positions", "n_fills", "n_rejected"])
+    return _output(out)
 
 
 def fund_backtest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -303,19 +379,28 @@ def fund_backtest(pdf: pd.DataFrame) -> pd.DataFrame:
     for t, day, rows in _days(pdf):
         n0 = len(book.fills)
         navs = {c: r["close"] for c, r in rows.items() if _clean(r.get("close"))}
+        if _warming(params, day):
+            last |= navs
+            continue
         value = book.cash + sum(book.shares(c) * last.get(c, 0.0) for c in book.lots)
         target = {c: w for c, r in rows.items() if (w := _clean(r.get("target"))) is not None}
         if t and any(w > 0 for w in target.values()):
             book.rebalance(target, value, navs, pd.Timestamp(day).toordinal(), params.get("max_weight"))
         last |= navs
-        out.append((pdf["scenario_id"].iloc[0], day, (book.cash + sum(book.shares(c) * last.get(c, 0.0) for c in book.lots)) / capital, book.cash, {c: book.shares(c) for c in book.lots if book.shares(c) > 0}, len(book.fills) - n0, 0))
-    return pd.DataFrame(out, columns=["scenario_id", "date", "nav", "cash", "positions", "n_fills", "n_rejected"])
+        out.append((pdf["scenario_id"].iloc[0], day, (book.cash + sum(book.shares(c) * last.get(c, 0.0) for c in book.lots)) / capital, book.cash, {c: book.shares(c) for c in book.lots if book.shares(c) > 0}, *_traded(book.fills[n0:], [])))
+    return _output(out)
 
 
 def run_scenarios(quotes: DataFrame, scenarios: DataFrame, simulate: Callable[[pd.DataFrame], pd.DataFrame] = cash_backtest) -> DataFrame:
-    """NAV rows of every scenario (scenario_id, params JSON) over the quotes; scenarios are few and go to the quotes by broadcast.
+    """NAV rows of every scenario (scenario_id, params JSON) over the quotes; scenarios are a table of parameters, at most MOST_SCENARIOS, and go to the quotes by broadcast.
 
-    Quotes with a scenario_id of their own are joined on it, else every scenario sees all of them.
+    Quotes with a scenario_id of their own are joined on it, else every scenario sees all of them.  A
+    scenario with `start` and `end` (ISO dates) sees the days between, and `warmup` days (400) before.
     """
+    if scenarios.limit(MOST_SCENARIOS + 1).count() > MOST_SCENARIOS:
+        raise ValueError(f"more than {MOST_SCENARIOS} scenarios: run them in parts")
     rows = quotes.join(F.broadcast(scenarios), "scenario_id") if "scenario_id" in quotes.columns else quotes.crossJoin(F.broadcast(scenarios))
+    field = lambda name: F.get_json_object("params", f"$.{name}")
+    lo = F.date_sub(field("start").cast("date"), F.coalesce(field("warmup").cast("int"), F.lit(400)))
+    rows = rows.where(F.coalesce(F.col("date") >= lo, F.lit(True)) & F.coalesce(F.col("date") <= field("end").cast("date"), F.lit(True)))
     return rows.groupBy("scenario_id").applyInPandas(lambda pdf: simulate(pdf), NAV)

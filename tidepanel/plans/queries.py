@@ -45,7 +45,7 @@ def week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense weekly panel with ret."""
-    return factors.with_returns(panels.dense(week(spark, sf_dir)))
+    return panels.dense_panel(spark, sf_dir)
 
 
 def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ def bars_daily(spark, sf_dir):
 
 @register("scaffold_ffill", f"WITH {DENSE} SELECT date, code, t_idx, last_value(close IGNORE NULLS) OVER ({TS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close_ff FROM dense0")
 def scaffold_ffill(spark, sf_dir):
-    rows = panels.dense(panels.weekly_bars(table(spark, sf_dir, "lineitem")))
+    rows = panels.dense(panels.bars_of(spark, sf_dir))
     return rows.select("date", "code", "t_idx", ffill("close").alias("close_ff"))
 
 
@@ -164,13 +164,13 @@ def turn20_am20(spark, sf_dir):
 
 @register("panel_lookback", f"WITH {WEEK} SELECT date, code, am20 FROM wk WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND am20 IS NOT NULL")
 def panel_lookback(spark, sf_dir):
-    rows = panels.with_lookback(panels.weekly_bars(table(spark, sf_dir, "lineitem")), "1998-01-01", "1998-12-31", 3650, panels.rolling_base)
+    rows = panels.with_lookback(panels.bars_of(spark, sf_dir), "1998-01-01", "1998-12-31", 3650, panels.rolling_base)
     return rows.where("am20 is not null").select("date", "code", "am20")
 
 
 @register("panel_tail", f"WITH {WEEK} SELECT date, code, close FROM wk QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) <= 5")
 def panel_tail(spark, sf_dir):
-    return panels.tail(panels.weekly_bars(table(spark, sf_dir, "lineitem")), 5).select("date", "code", "close")
+    return panels.tail(panels.bars_of(spark, sf_dir), 5).select("date", "code", "close")
 
 
 @register(
@@ -179,7 +179,7 @@ def panel_tail(spark, sf_dir):
     count(*) FILTER (WHERE close <= 0 OR open <= 0 OR high < low) AS bad_prices, count(*) - count(DISTINCT (date, code)) AS repeated FROM wk""",
 )
 def panel_info(spark, sf_dir):
-    return catalog.validate_panel(panels.weekly_bars(table(spark, sf_dir, "lineitem")))
+    return catalog.validate_panel(panels.bars_of(spark, sf_dir))
 
 
 @register("table_freshness", "SELECT count(*) AS n, CAST(max(o_orderdate) AS DATE) AS last FROM orders")
@@ -205,7 +205,7 @@ def sql_endpoint(spark, sf_dir):
 @register("universe_filter", f"WITH {WEEK}, {INDUSTRY} SELECT w.date, w.code, w.close FROM wk w SEMI JOIN (SELECT code FROM ind WHERE industry IN ('NATION_1', 'NATION_2', 'NATION_3')) u USING (code)")
 def universe_filter(spark, sf_dir):
     chosen = industries(spark, sf_dir).where(F.col("industry").isin("NATION_1", "NATION_2", "NATION_3"))
-    return panels.weekly_bars(table(spark, sf_dir, "lineitem")).join(chosen, "code", "left_semi").select("date", "code", "close")
+    return panels.bars_of(spark, sf_dir).join(chosen, "code", "left_semi").select("date", "code", "close")
 
 
 # ---------------------------------------------------------------- factors
@@ -254,14 +254,15 @@ def chandelier(spark, sf_dir):
     return rounded(rows.where("stop is not null").select("date", "code", "stop"), "stop", digits=7)
 
 
-LIMIT_SQL = "CASE WHEN code LIKE '30%' THEN 0.20 WHEN code LIKE '68%' THEN 0.20 WHEN code LIKE '4%' THEN 0.30 WHEN code LIKE '8%' THEN 0.30 WHEN code LIKE '92%' THEN 0.30 ELSE 0.10 END"
+# the boards' rule as stated: funds have no limit, growth boards 20 %, the third market 30 %, the main boards 10 %
+LIMIT_SQL = "CASE WHEN regexp_matches(code, '^(5|15|16|18)') THEN 1.0 WHEN substr(code, 1, 3) IN ('300', '301', '688', '689') THEN 0.20 WHEN regexp_matches(code, '^([48]|920)') THEN 0.30 ELSE 0.10 END"
 
 
 @register(
     "limit_flags",
     f"""WITH {DENSE}, m AS (SELECT *, {LIMIT_SQL} - 0.005 AS lim FROM dense),
-    fl AS (SELECT date, code, coalesce(ret >= lim, false) AS limit_up, coalesce(ret <= -lim, false) AS limit_down, coalesce(high - low <= 1e-9, false) AS flat FROM m)
-    SELECT date, code, limit_up, limit_down, limit_up AND flat AS one_price_up, limit_down AND flat AS one_price_down FROM fl WHERE limit_up OR limit_down""",
+    fl AS (SELECT date, code, coalesce(ret >= lim, false) AS limit_up, coalesce(ret <= -lim, false) AS limit_down, open, close FROM m)
+    SELECT date, code, limit_up, limit_down, limit_up AND coalesce(open >= close - 1e-6, false) AS one_price_up, limit_down AND coalesce(open <= close + 1e-6, false) AS one_price_down FROM fl WHERE limit_up OR limit_down""",
 )
 def limit_flags(spark, sf_dir):
     rows = factors.limit_flags(dense_week(spark, sf_dir))
@@ -272,13 +273,13 @@ def limit_flags(spark, sf_dir):
 def cs_rank_pct(spark, sf_dir):
     from ..functions.windows import avg_rank
 
-    rows = panels.weekly_bars(table(spark, sf_dir, "lineitem"))
+    rows = panels.bars_of(spark, sf_dir)
     return rows.select("date", "code", avg_rank("volume").alias("rank"), F.round(pct_rank("volume"), 10).alias("pct"))
 
 
 @register("cs_zscore", f"WITH {WEEK} SELECT date, code, round((amount - avg(amount) OVER d) / nullif(stddev_samp(amount) OVER d, 0), 6) + 0.0 AS z FROM wk WINDOW d AS (PARTITION BY date)")
 def cs_zscore(spark, sf_dir):
-    return rounded(panels.weekly_bars(table(spark, sf_dir, "lineitem")).select("date", "code", zscore("amount").alias("z")), "z", digits=6)
+    return rounded(panels.bars_of(spark, sf_dir).select("date", "code", zscore("amount").alias("z")), "z", digits=6)
 
 
 SCORES = f"f AS (SELECT date, code, t_idx, close, open, turnover, am20, round({lagged('close', 5)}, 10) AS mom5, round({roll('stddev_samp', 'ret', 5, 3)}, 10) AS vol5, volume FROM dense)"
@@ -316,7 +317,7 @@ def liquidity_cut(spark, sf_dir):
 
 @register("quantile_buckets", f"WITH {WEEK}, r AS (SELECT date, code, volume, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY volume, code) AS p FROM wk) SELECT date, code, CAST(greatest(ceil((p - 1) * 5 / greatest(n - 1, 1)::DOUBLE) - 1, 0) AS BIGINT) AS bucket FROM r")
 def quantile_buckets(spark, sf_dir):
-    rows = panels.weekly_bars(table(spark, sf_dir, "lineitem"))
+    rows = panels.bars_of(spark, sf_dir)
     return rows.select("date", "code", quantile_bucket("volume", 5).cast("long").alias("bucket"))
 
 
@@ -330,7 +331,7 @@ def golden_cross_signals(spark, sf_dir):
 def index_normalised(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    rows = panels.weekly_bars(table(spark, sf_dir, "lineitem")).groupBy("date").agg(F.round(F.avg("close"), 8).alias("level")).where("date >= date '1998-01-01'")
+    rows = panels.bars_of(spark, sf_dir).groupBy("date").agg(F.round(F.avg("close"), 8).alias("level")).where("date >= date '1998-01-01'")
     return rounded(rows.select("date", (F.col("level") / F.first("level").over(Window.orderBy("date"))).alias("level")), "level")
 
 
@@ -367,7 +368,7 @@ def long_short_legs(spark, sf_dir):
 
 @register("rebalance_calendar", f"WITH {DENSE}, c AS (SELECT *, lag(date) OVER (ORDER BY date) AS p FROM cal) SELECT date, t_idx, coalesce(month(date) <> month(p), false) AS monthly, coalesce(month(date) <> month(p) AND month(date) IN (3, 9), false) AS semiannual, coalesce(isodow(date) = 5, false) AS weekly FROM c")
 def rebalance_calendar(spark, sf_dir):
-    cal = panels.calendar(panels.weekly_bars(table(spark, sf_dir, "lineitem")))
+    cal = panels.calendar(panels.bars_of(spark, sf_dir))
     for freq in (selection.MONTHLY, selection.SEMIANNUAL, selection.WEEKLY):
         cal = selection.rebalance_days(cal, freq).withColumnRenamed("is_exec", freq)
     return cal
@@ -391,7 +392,7 @@ def regime_scale(spark, sf_dir):
 
 @register("min_history", f"WITH {WEEK} SELECT date, code, close FROM wk WHERE code IN (SELECT code FROM wk GROUP BY code HAVING count(*) FILTER (WHERE date < DATE '1999-01-01' - 400) >= 100)")
 def min_history(spark, sf_dir):
-    return joins.min_history(panels.weekly_bars(table(spark, sf_dir, "lineitem")), "1999-01-01", 400, 100).select("date", "code", "close")
+    return joins.min_history(panels.bars_of(spark, sf_dir), "1999-01-01", 400, 100).select("date", "code", "close")
 
 
 @register("stock_search", "SELECT code, name, CAST(hit AS INTEGER) AS hit FROM (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_name AS name, CASE WHEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') LIKE '00001%' THEN 0 WHEN contains(lower(s_name), '00001') THEN 1 END AS hit FROM supplier) WHERE hit IS NOT NULL ORDER BY hit, code LIMIT 20")
@@ -522,7 +523,7 @@ e AS (SELECT month, industry, (cw - bw) * bench AS allocation, bw * (CASE WHEN c
 def brinson_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    rows = joins.with_names(panels.weekly_bars(table(spark, sf_dir, "lineitem")), industries(spark, sf_dir), "code", "industry", "?")
+    rows = joins.with_names(panels.bars_of(spark, sf_dir), industries(spark, sf_dir), "code", "industry", "?")
     totals = rows.groupBy(F.trunc("date", "month").alias("month"), "code").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("a"))
     r = F.row_number().over(Window.partitionBy("month").orderBy(F.desc("a"), "code"))
     return evaluate.brinson(rows, totals.withColumn("r", r).where("r <= 3").select("month", "code", F.lit(1.0 / 3).alias("weight")))
@@ -541,9 +542,8 @@ def brinson_total(spark, sf_dir):
 
 @register("sweep_heatmap", f"WITH {WEEK} SELECT year(date) AS year, round(avg(close) FILTER (WHERE month(date) <= 6), 6) AS h1, round(avg(close) FILTER (WHERE month(date) > 6), 6) AS h2 FROM wk GROUP BY 1")
 def sweep_heatmap(spark, sf_dir):
-    rows = panels.weekly_bars(table(spark, sf_dir, "lineitem")).select(F.year("date").alias("year"), F.when(F.month("date") <= 6, "h1").otherwise("h2").alias("half"), "close")
-    out = rows.groupBy("year").pivot("half", ["h1", "h2"]).agg(F.avg("close"))
-    return rounded(out, "h1", "h2", digits=6)
+    rows = panels.bars_of(spark, sf_dir).select(F.year("date").alias("year"), F.when(F.month("date") <= 6, "h1").otherwise("h2").alias("half"), "close")
+    return rounded(sweeps.heatmap(rows, "year", "half", "close"), "h1", "h2", digits=6)
 
 
 # ---------------------------------------------------------------- joins, sets, adjustment
@@ -557,7 +557,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("asof_pit", f"WITH {WEEK}, {PIT} SELECT w.date, w.code, w.close, ev.value FROM wk w ASOF LEFT JOIN ev ON w.code = ev.code AND w.date >= ev.ann_date")
 def asof_pit(spark, sf_dir):
-    return joins.asof(panels.weekly_bars(table(spark, sf_dir, "lineitem")).select("date", "code", "close"), statements(spark, sf_dir), ["value"]).select("date", "code", "close", "value")
+    return joins.asof(panels.bars_of(spark, sf_dir).select("date", "code", "close"), statements(spark, sf_dir), ["value"]).select("date", "code", "close", "value")
 
 
 YOY = "q AS (SELECT o_custkey % 25 AS nation, year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders GROUP BY ALL)"
@@ -574,7 +574,7 @@ ADJ = "adj AS (SELECT *, 1 + 0.1 * (year(date) - 1994) AS adj_factor FROM wk)"
 
 
 def adjustable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.weekly_bars(table(spark, sf_dir, "lineitem")).withColumn("adj_factor", F.lit(1.0) + F.lit(0.1) * (F.year("date") - 1994))
+    return panels.bars_of(spark, sf_dir).withColumn("adj_factor", F.lit(1.0) + F.lit(0.1) * (F.year("date") - 1994))
 
 
 @register("adjust_qfq", f"WITH {WEEK}, {ADJ}, l AS (SELECT code, max_by(adj_factor, date) AS la FROM adj GROUP BY 1) SELECT date, code, round(open * adj_factor / la, 8) + 0.0 AS open, round(close * adj_factor / la, 8) + 0.0 AS close FROM adj JOIN l USING (code)")
@@ -596,7 +596,7 @@ def anti_upsert(spark, sf_dir):
 
 @register("anchor_diff", f"WITH {WEEK}, a AS (SELECT code, max_by(close, date) AS old_value FROM wk WHERE date < DATE '2000-01-01' GROUP BY 1), b AS (SELECT code, max_by(close, date) AS new_value FROM wk GROUP BY 1) SELECT coalesce(a.code, b.code) AS code, old_value, new_value FROM a FULL JOIN b ON a.code = b.code WHERE old_value IS DISTINCT FROM new_value")
 def anchor_diff(spark, sf_dir):
-    rows = panels.weekly_bars(table(spark, sf_dir, "lineitem"))
+    rows = panels.bars_of(spark, sf_dir)
     last = lambda df: df.groupBy("code").agg(F.max_by("close", "date").alias("v"))
     return joins.anchor_diff(last(rows.where("date < date '2000-01-01'")), last(rows), "code", "v")
 
@@ -609,17 +609,17 @@ def dedupe_last(spark, sf_dir):
 
 @register("incremental_panel", f"WITH {WEEK} SELECT date, code, close FROM wk")
 def incremental_panel(spark, sf_dir):
-    raw = panels.weekly_bars(table(spark, sf_dir, "lineitem")).select("date", "code", "close")
+    raw = panels.bars_of(spark, sf_dir).select("date", "code", "close")
     affected = raw.select("code").distinct().where("code like '%3'")
     return joins.incremental_panel(raw.where("date < date '2000-01-01'"), raw, affected, lambda df: df)
 
 
 # ---------------------------------------------------------------- ledger, fees, text
-TRADES = f"tr AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, {CODE.format('l_suppkey')} AS code, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS action, l_quantity AS shares, l_extendedprice / l_quantity AS price, l_tax AS fee, l_orderkey * 10000 + l_linenumber * 1000 + l_quantity AS seq, l_extendedprice FROM lineitem WHERE l_suppkey % 10 = 1)"
+TRADES = f"tr AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, {CODE.format('l_suppkey')} AS code, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS action, l_quantity AS shares, l_extendedprice / l_quantity AS price, l_tax AS fee, l_orderkey * 10000 + l_linenumber * 1000 + l_quantity AS seq, l_extendedprice FROM lineitem)"
 
 
 def ledger_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines as trades: returned lines are sales.  TRADES, the SQL's side, still holds a tenth of the suppliers."""
+    """All lines as trades: returned lines are sales."""
     rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.date_trunc("week", "l_shipdate").cast("date").alias("date"), S.zero_filled(F.col("l_suppkey")).alias("code"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("action"), F.col("l_quantity").alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_tax").alias("fee"), (F.col("l_orderkey") * 10000 + F.col("l_linenumber") * 1000 + F.col("l_quantity")).alias("seq"), "l_extendedprice")
 
@@ -627,7 +627,7 @@ def ledger_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "ledger_equity",
     f"""WITH {DENSE}, {TRADES}, px AS (SELECT date, code, last_value(close IGNORE NULLS) OVER ({TS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM dense0),
-    fl AS (SELECT date, CASE WHEN action = 'buy' THEN -(shares * price + fee) ELSE shares * price - fee END AS amount, 0.0 AS paid FROM tr UNION ALL SELECT CAST(date_trunc('week', o_orderdate) AS DATE), o_totalprice, o_totalprice FROM orders WHERE o_custkey % 10 = 1),
+    fl AS (SELECT date, CASE WHEN action = 'buy' THEN -(shares * price + fee) ELSE shares * price - fee END AS amount, 0.0 AS paid FROM tr UNION ALL SELECT CAST(date_trunc('week', o_orderdate) AS DATE), o_totalprice, o_totalprice FROM orders),
     bd AS (SELECT c.date, coalesce(sum(amount), 0) AS amount, coalesce(sum(paid), 0) AS paid FROM cal c LEFT JOIN fl USING (date) GROUP BY 1),
     cash AS (SELECT date, sum(amount) OVER (ORDER BY date) AS cash, sum(paid) OVER (ORDER BY date) AS paid FROM bd),
     st AS (SELECT date, code, sum(CASE WHEN action = 'buy' THEN shares ELSE -shares END) AS step FROM tr GROUP BY ALL),
@@ -636,17 +636,18 @@ def ledger_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT date, round(cash, 3) + 0.0 AS cash, round(mv, 3) + 0.0 AS market_value, round(cash + mv, 3) + 0.0 AS equity, round(cash + mv - paid, 3) + 0.0 AS pnl FROM cash JOIN mv USING (date)""",
 )
 def ledger_equity(spark, sf_dir):
-    px = panels.dense(panels.weekly_bars(table(spark, sf_dir, "lineitem"))).select("date", "code", ffill("close").alias("close"))
+    px = panels.dense(panels.bars_of(spark, sf_dir)).select("date", "code", ffill("close").alias("close"))
     deposits = table(spark, sf_dir, "orders").select(F.date_trunc("week", "o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("amount"))
     return rounded(ledger.ledger_equity(px, ledger_trades(spark, sf_dir), deposits), "cash", "market_value", "equity", "pnl", digits=3)
 
 
 @register(
     "ledger_positions",
-    f"""WITH RECURSIVE {TRADES}, o AS (SELECT code, CASE WHEN action = 'buy' THEN shares ELSE -shares END AS n, price, row_number() OVER (PARTITION BY code ORDER BY date, seq, CASE WHEN action = 'buy' THEN shares ELSE -shares END, price) AS i FROM tr),
-    s AS (SELECT code, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS n, CAST(0 AS DOUBLE) AS cost FROM (SELECT DISTINCT code FROM o)
-      UNION ALL SELECT s.code, o.i, CASE WHEN o.n > 0 THEN s.n + o.n ELSE s.n - least(-o.n, s.n) END, CASE WHEN o.n > 0 THEN s.cost + o.n * o.price ELSE s.cost * CASE WHEN s.n > 0 THEN 1 - least(-o.n, s.n) / s.n ELSE 0 END END FROM s JOIN o ON o.code = s.code AND o.i = s.i + 1)
-    SELECT code, max_by(n, i) AS shares, round(max_by(cost, i), 4) AS cost FROM s GROUP BY code HAVING max_by(n, i) > 1e-9""",
+    f"""WITH {TRADES}, o AS (SELECT code, date, seq, CAST(CASE WHEN action = 'buy' THEN shares ELSE -shares END AS DOUBLE) AS n, CAST(price AS DOUBLE) AS p FROM tr),
+    x AS (SELECT code, list({{'n': n, 'p': p}} ORDER BY date, seq, n, p) AS ts FROM o GROUP BY code),
+    s AS (SELECT code, list_reduce(list_prepend({{'n': CAST(0 AS DOUBLE), 'p': CAST(0 AS DOUBLE)}}, ts), lambda a, t: CASE WHEN t.n > 0 THEN {{'n': a.n + t.n, 'p': a.p + t.n * t.p}}
+      ELSE {{'n': a.n - least(-t.n, a.n), 'p': a.p * CASE WHEN a.n > 0 THEN 1 - least(-t.n, a.n) / a.n ELSE 0 END}} END) AS r FROM x)
+    SELECT code, r.n AS shares, round(r.p, 4) AS cost FROM s WHERE r.n > 1e-9""",
 )
 def ledger_positions(spark, sf_dir):
     return rounded(ledger.ledger_positions(ledger_trades(spark, sf_dir)), "cost", digits=4)
@@ -724,7 +725,7 @@ CANDLES = {
 
 @register("candle_alphas", f"WITH {WEEK} SELECT date, code, " + ", ".join(f"round({e}, 8) + 0.0 AS {n}" for n, e in CANDLES.items()) + " FROM wk")
 def candle_alphas(spark, sf_dir):
-    rows = panels.weekly_bars(table(spark, sf_dir, "lineitem"))
+    rows = panels.bars_of(spark, sf_dir)
     return rounded(rows.select("date", "code", *[c.alias(n) for n, c in research.candle_alphas().items()]), *CANDLES)
 
 
@@ -832,7 +833,16 @@ def risk_parity(spark, sf_dir):
     return rounded(optimised_weights(rows.select(F.year("date").alias("year"), "date", "code", "ret"), "year", "risk_parity"), "weight", digits=6)
 
 
-@register("neutralize_ols")
+Z3 = "CASE WHEN {0} IS NOT NULL AND stddev_samp({0}) OVER (PARTITION BY date) > 0 THEN greatest(-3.0, least(3.0, ({0} - avg({0}) OVER (PARTITION BY date)) / stddev_samp({0}) OVER (PARTITION BY date))) END"
+STYLES_SQL = f"""st AS (SELECT date, code, t_idx, close, mom5, {Z3.format('l')} AS a, {Z3.format('vol5')} AS b, {Z3.format('mom5')} AS m FROM (SELECT *, ln(1 + am20) AS l FROM f))"""
+# residuals of two regressors and a constant: the coefficients solve the 2 x 2 normal equations of centred values
+NEUTRAL_SQL = f"""{DENSE}, {SCORES}, {STYLES_SQL},
+kn AS (SELECT *, mom5 IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AS ok FROM st WHERE mom5 IS NOT NULL),
+mo AS (SELECT date, count(*) AS n, avg(mom5) AS y, avg(a) AS a, avg(b) AS b, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, mom5) AS ay, covar_pop(b, mom5) AS vy FROM kn WHERE ok GROUP BY date),
+co AS (SELECT *, (ay * bb - vy * ab) / (aa * bb - ab * ab) AS ca, (vy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM mo)"""
+
+
+@register("neutralize_ols", f"WITH {NEUTRAL_SQL} SELECT kn.date, code, CASE WHEN ok AND n >= 5 THEN round(mom5 - y - ca * (kn.a - co.a) - cb * (kn.b - co.b), 8) + 0.0 END AS score FROM kn LEFT JOIN co ON kn.date = co.date")
 def neutralize_ols(spark, sf_dir):
     from ..operators.portfolio import neutralised, style_exposures
 
@@ -840,7 +850,21 @@ def neutralize_ols(spark, sf_dir):
     return rounded(neutralised(rows.withColumn("score", F.col("mom5")), "score", ["liquidity", "volatility"]), "score")
 
 
-@register("factor_returns")
+# three regressors by the 3 x 3 normal equations of centred values, by Cramer's rule
+_DET = lambda x, y, z: f"({x[0]} * ({y[1]} * {z[2]} - {y[2]} * {z[1]}) - {y[0]} * ({x[1]} * {z[2]} - {x[2]} * {z[1]}) + {z[0]} * ({x[1]} * {y[2]} - {x[2]} * {y[1]}))"
+_COLS, _RHS = [("aa", "ma", "ab"), ("ma", "mm", "mb"), ("ab", "mb", "bb")], ("ar", "mr", "br")
+_BETA = [f"{_DET(*[_RHS if i == j else _COLS[j] for j in range(3)])} / {_DET(*_COLS)}" for i in range(3)]
+FACTOR_RETURNS_SQL = f"""{DENSE}, {SCORES}, {STYLES_SQL},
+kn AS (SELECT * FROM (SELECT *, lead(close, 1) OVER ({TS}) / nullif(close, 0) - 1 AS r FROM st) WHERE r IS NOT NULL AND a IS NOT NULL AND m IS NOT NULL AND b IS NOT NULL),
+mo AS (SELECT date, count(*) AS n, avg(r) AS r0, avg(a) AS a0, avg(m) AS m0, avg(b) AS b0, var_pop(a) AS aa, var_pop(m) AS mm, var_pop(b) AS bb, covar_pop(m, a) AS ma, covar_pop(a, b) AS ab, covar_pop(m, b) AS mb, covar_pop(a, r) AS ar, covar_pop(m, r) AS mr, covar_pop(b, r) AS br, var_pop(r) AS rr FROM kn GROUP BY date HAVING count(*) >= 9),
+be AS (SELECT *, {_BETA[0]} AS ba, {_BETA[1]} AS bm, {_BETA[2]} AS bv FROM mo),
+fr AS (SELECT *, r0 - ba * a0 - bm * m0 - bv * b0 AS c0, rr - ba * ar - bm * mr - bv * br AS rv FROM be)"""
+
+
+@register(
+    "factor_returns",
+    f"WITH {FACTOR_RETURNS_SQL} SELECT date, factor, round(ret, 6) + 0.0 AS ret, round(rv, 6) + 0.0 AS residual_var FROM (SELECT date, rv, 'market' AS factor, c0 AS ret FROM fr UNION ALL SELECT date, rv, 'liquidity', ba FROM fr UNION ALL SELECT date, rv, 'momentum', bm FROM fr UNION ALL SELECT date, rv, 'volatility', bv FROM fr)",
+)
 def factor_returns(spark, sf_dir):
     from ..operators.portfolio import factor_returns as fit
     from ..operators.portfolio import style_exposures

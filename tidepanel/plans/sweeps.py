@@ -29,12 +29,17 @@ def cross_grid(shorts: list[int], longs: list[int], **more) -> dict[str, dict]:
 
 
 def sweep(quotes: DataFrame, scenarios: dict[str, dict], folds: list[tuple[date, date]] | None = None, simulate=event_backtest) -> DataFrame:
-    """Metrics of every scenario, by fold where there are any: scenario_id, fold, and nav_metrics."""
-    nav = run_scenarios(quotes, scenario_table(quotes.sparkSession, scenarios), simulate)
-    fold = F.lit(0)
-    for i, (lo, hi) in enumerate(folds or []):
-        fold = F.when(F.col("date").between(F.lit(lo), F.lit(hi)), F.lit(i)).otherwise(fold)
-    return nav_metrics(nav.withColumn("fold", fold), ["scenario_id", "fold"])
+    """Metrics of every scenario, by fold where there are any: scenario_id, fold, and nav_metrics.
+
+    A fold is a run of its own: whole capital at its first day, prices before it as warm-up only.
+    """
+    runs = scenarios if not folds else {f"{k}@{i}": {**v, "start": str(lo), "end": str(hi)} for k, v in scenarios.items() for i, (lo, hi) in enumerate(folds)}
+    nav = run_scenarios(quotes, scenario_table(quotes.sparkSession, runs), simulate)
+    if folds:
+        nav = nav.withColumns({"fold": F.substring_index("scenario_id", "@", -1).cast("int"), "scenario_id": F.regexp_replace("scenario_id", "@[0-9]+$", "")})
+    else:
+        nav = nav.withColumn("fold", F.lit(0))
+    return nav_metrics(nav, ["scenario_id", "fold"])
 
 
 def summary(metrics: DataFrame, by: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import zero_filled
 from ..functions.windows import ffill, frame
+from .store import precomputed
 
 
 def _exact_sum(c: Column) -> Column:
@@ -101,6 +102,26 @@ def nav_panel(nav: DataFrame) -> DataFrame:
     return rows.where("close is not null").select("code", "date", "t_idx", *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], *[one.alias(c) for c in ("volume", "amount", "turnover", "turn20", "am20")])
 
 
+def valid_prices(panel: DataFrame) -> DataFrame:
+    """The rows whose prices can be: positive open and close, high not below low."""
+    ok = (F.col("close") > 0) & (F.col("open") > 0) & (F.col("high") >= F.col("low"))
+    return panel.where(F.coalesce(ok, F.lit(False)))
+
+
+def code_statistics(panel: DataFrame, price: str = "close") -> DataFrame:
+    """code, n, first and last date, mean and last price."""
+    return panel.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.avg(price).alias("mean"), F.max_by(price, "date").alias("latest"))
+
+
+def last_change(panel: DataFrame, price: str = "close") -> DataFrame:
+    """code, date, price and change of each code's last row over the one before it."""
+    last = tail(panel.where(F.col(price).isNotNull()), 2)
+    x = F.sort_array(F.collect_list(F.struct("date", price)))  # two rows at most
+    rows = last.groupBy("code").agg(x.alias("x"))
+    now, was = F.get("x", F.size("x") - 1), F.get("x", F.size("x") - 2)
+    return rows.select("code", now["date"].alias("date"), now[price].alias(price), F.when(F.size("x") > 1, F.try_divide(now[price], was[price]) - 1).alias("change"))
+
+
 def dedupe_last(rows: DataFrame, keys: list[str], recency: list[Column]) -> DataFrame:
     """The latest row of each key; unlike dropDuplicates, which keeps any."""
     from pyspark.sql.window import Window
@@ -117,9 +138,21 @@ def tail(panel: DataFrame, days: int) -> DataFrame:
     return panel.withColumn("_n", n).where(F.col("_n") <= days).drop("_n")
 
 
+def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly bars of a data folder, precomputed and sorted by code and date."""
+    return precomputed(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "bars", lambda rows: weekly_bars(rows).repartition("code").sortWithinPartitions("code", "date"))
+
+
 def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly panel of a data folder, with rolling base columns."""
-    return rolling_base(weekly_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+    return rolling_base(bars_of(spark, sf_dir))
+
+
+def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense weekly panel of a data folder with ret and t_idx, precomputed from its bars, sorted by code and date."""
+    from ..operators.factors import with_returns
+
+    return precomputed(bars_of(spark, sf_dir), "dense", lambda rows: with_returns(dense(rolling_base(rows))).repartition("code").sortWithinPartitions("code", "date"))
 
 
 __all__ = ["adjusted", "bars", "calendar", "daily_bars", "dedupe_last", "dense", "last_adjustment", "nav_panel", "rolling_base", "tail", "weekly_bars", "weekly_panel", "with_lookback"]

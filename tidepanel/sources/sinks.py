@@ -12,9 +12,9 @@ from ..operators.books import insert_once, upsert
 
 
 def write_panel(rows: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Replace a parquet table, sorted by code and date within files so that later filters skip row groups."""
+    """Replace a parquet table by swap(), sorted by code and date within files so that later filters skip row groups."""
     out = rows.repartition(partitions, "code") if partitions else rows.repartition("code")
-    out.sortWithinPartitions("code", "date").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    swap(out.sortWithinPartitions("code", "date"), path)
 
 
 def write_table(rows: DataFrame, name: str, mode: str = "append") -> None:
@@ -27,17 +27,45 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def merge_into(rows: DataFrame, path: str, keys: list[str], replace: bool = True) -> None:
-    """Upsert (or insert once) into a parquet table: the merged table is written beside it and then takes its place."""
+    """Upsert (or insert once) into a parquet table by swap(): a crash leaves the old table or the new one."""
     spark = rows.sparkSession
+    recover(spark, path)
     if not _exists(spark, path):
-        rows.write.mode("overwrite").parquet(path)
+        swap(rows, path)
         return
     old = spark.read.parquet(path)
-    (upsert if replace else insert_once)(old, rows.select(*old.columns), keys).write.mode("overwrite").parquet(f"{path}.new")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(f"{path}.new"), fs_path(path))
+    swap((upsert if replace else insert_once)(old, rows.select(*old.columns), keys), path)
+
+
+def swap(rows: DataFrame, path: str) -> None:
+    """Replace a parquet table: the new one is written beside it, the old one steps aside, and only then goes.
+
+    At every moment either the table, or `.old` with a complete `.new` beside it, exists; recover() finishes
+    what a crash has interrupted.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.new")
+    fs, at = _files(spark, path)
+    fs.delete(at(f"{path}.old"), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(f"{path}.old"))
+    fs.rename(at(f"{path}.new"), at(path))
+    fs.delete(at(f"{path}.old"), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash in swap(): without the table the complete new one takes its place, or else the old one comes back."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(path)):
+        for side in ("new", "old"):
+            if fs.exists(at(f"{path}.{side}/_SUCCESS")):
+                fs.rename(at(f"{path}.{side}"), at(path))
+                break
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def write_results(tables: dict[str, DataFrame], root: str) -> None:

@@ -4,38 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.panels import dedupe_last
 from ..sources.sinks import merge_into
 
 BARS = "code string, date date, turnover double, amount double"
 BASE = "code string, date date, turnover double, amount double, turn20 double, am20 double"
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Each batch replaces the rows of its keys, so late or repaired dates come out right and a repeated batch changes nothing."""
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, recency: list[str] | None = None):
+    """Each batch replaces the rows of its keys, so late or repaired dates come out right and a repeated batch changes nothing.
+
+    Of a batch's rows of one key the latest by `recency` counts; rows equal in that, or without it all rows of
+    a key, are ordered by all their columns, the largest last.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
-        merge_into(rows.dropDuplicates(keys), path, keys)
+        order = [*(recency or []), *(c for c in rows.columns if c not in keys)]
+        merge_into(dedupe_last(rows, keys, [F.col(c) for c in order]), path, keys)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rolling_base_stream(stream: DataFrame, n: int = 20, min_periods: int = 15) -> DataFrame:
-    """turn20 and am20 of bars that arrive in date order by code; the state is each code's last n bars."""
+    """turn20 and am20 of bars that arrive in date order by code; the state is each code's last n - 1 bars."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(batches).sort_values("date")
-        out = []
-        for r in rows.itertuples(index=False):
-            last = [*last, float("nan") if r.turnover is None else r.turnover, float("nan") if r.amount is None else r.amount][-2 * n :]
-            means = [pd.Series(last[i::2]) for i in (0, 1)]
-            out.append((key[0], r.date, r.turnover, r.amount, *[m.mean() if m.count() >= min_periods else None for m in means]))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["code", "date", "turnover", "amount", "turn20", "am20"])
+        rows = pd.concat(batches).sort_values("date", ignore_index=True)
+        old = np.array(state.get[0], dtype=float).reshape(-1, 2) if state.exists else np.zeros((0, 2))
+        values = np.vstack((old, rows[["turnover", "amount"]].to_numpy(float)))
+        means = pd.DataFrame(values).rolling(n, min_periods=min_periods).mean().to_numpy()[len(old) :]
+        state.update((values[-(n - 1) :].ravel().tolist() if n > 1 else [],))
+        out = rows[["code", "date", "turnover", "amount"]].assign(turn20=means[:, 0], am20=means[:, 1])
+        yield out.astype(object).where(out.notna(), None)
 
     return stream.select("code", "date", "turnover", "amount").groupBy("code").applyInPandasWithState(update, BASE, "last array<double>", "append", "NoTimeout")
 
