@@ -228,6 +228,39 @@ def test_kd_shards(spark, docs, empty):
     assert set(by) <= set(range(5)) and sharding.kd_shards(empty, 5).isEmpty()
 
 
+def test_kd_shards_equal_plain_splits(spark, docs):
+    """Sorting each node's rows along its widest dimension and cutting at the size nearest to the quantile; sizes are near equal."""
+    from tidepanel.llm import common as C
+
+    table = C.materialise(docs, "docs")
+    n = 6
+    rows = [(r.row, r["size"], [(r[f"k{d}"] << sharding.VALUE_BITS) | r.tie for d in range(3)], [r[f"k{d}"] for d in range(3)]) for r in sharding.keyed_metadata(sharding._metadata(table)).collect()]
+    want = {}
+
+    def split(part: list, low: int, n: int) -> None:
+        if n == 1 or not part:
+            want.update((r[0], low) for r in part)
+            return
+        dim = max(range(3), key=lambda d: (max(r[3][d] for r in part) - min(r[3][d] for r in part), -d))
+        target = sum(r[1] for r in part) * (n // 2) / n
+        cuts = sorted({r[2][dim] for r in part}) + [1 << 60]
+        best = min(cuts, key=lambda c: (abs(sum(r[1] for r in part if r[2][dim] < c) - target), c))
+        split([r for r in part if r[2][dim] < best], low, n // 2)
+        split([r for r in part if r[2][dim] >= best], low + n // 2, n - n // 2)
+
+    split(rows, 0, n)
+    size = {r[0]: r[1] for r in rows}
+    found = sharding.kd_shards(table, n).collect()
+    by = lambda pairs: Counter(pairs)
+    ids = {r.row: (r.doc_id, r["size"], r.text_crc32) for r in sharding._metadata(table).collect()}
+    assert by((r.doc_id, r["size"], r.text_crc32, r.shard) for r in found) == by((*ids[row], shard) for row, shard in want.items())
+    total = Counter()
+    for row, shard in want.items():
+        total[shard] += size[row]
+    mean = sum(total.values()) / n
+    assert all(abs(t - mean) <= max(size.values()) for t in total.values())
+
+
 def test_kd_shards_split_one_hot_value(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"))
     n = [r["count"] for r in sharding.kd_shards(rows, 8).groupBy("shard").count().collect()]

@@ -72,7 +72,7 @@ def _splits(rows: DataFrame, nodes: list[Node], n_shards: int) -> None:
     split = [x for x in nodes if x.n > 1 and x.low in widths]
     if not split:
         return
-    want, dims, prefix, before = {}, [-1] * n_shards, [-1] * n_shards, {}
+    want, dims, prefix, before, here = {}, [-1] * n_shards, [-1] * n_shards, {}, {}
     for x in split:
         r = widths[x.low]
         x.dim = max(range(3), key=lambda d: (r[f"w{d}"], -d))
@@ -90,10 +90,19 @@ def _splits(rows: DataFrame, nodes: list[Node], n_shards: int) -> None:
             found.sort()
             total = before[low] + np.cumsum([b for _, b in found])
             i = min(int(np.searchsorted(total, want[low])), len(found) - 1)
-            before[low] = int(total[i]) - found[i][1]
+            before[low], here[low] = int(total[i]) - found[i][1], found[i][1]
             prefix[low] = (prefix[low] << DIGIT) | found[i][0]
     for x in split:
-        x.cut = prefix[x.low]
+        # the last key goes to the side that leaves the sizes nearer to what is wanted
+        x.cut = prefix[x.low] + int(2 * (want[x.low] - before[x.low]) > here[x.low])
+
+
+def keyed_metadata(meta: DataFrame) -> DataFrame:
+    """Metadata with the scaled dimensions k0 to k2 and the hash that breaks their ties."""
+    r = meta.agg(F.count(F.lit(1)).alias("n"), *[f(f"d{d}").alias(f"{f.__name__}{d}") for d in range(3) for f in (F.min, F.max)]).first()
+    top = (1 << VALUE_BITS) - 1
+    scaled = [F.floor((F.col(f"d{d}") - F.lit(r[f"min{d}"])) / F.lit((r[f"max{d}"] - r[f"min{d}"]) or 1.0) * F.lit(top)).cast("long").alias(f"k{d}") for d in range(3)] if r.n else [F.lit(0).cast("long").alias(f"k{d}") for d in range(3)]
+    return meta.select("doc_id", "size", "text_crc32", "row", *scaled, F.xxhash64("doc_id", "text_crc32", "row").bitwiseAND(F.lit(top)).alias("tie"))
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = 24, target_bytes: int | None = None) -> DataFrame:
@@ -108,12 +117,9 @@ def kd_shards(docs: DataFrame, n_shards: int | None = 24, target_bytes: int | No
     has a shard of its own.
     """
     meta = C.materialise(_metadata(docs), "metadata")
-    r = meta.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[f(f"d{d}").alias(f"{f.__name__}{d}") for d in range(3) for f in (F.min, F.max)]).first()
     if n_shards is None:
-        n_shards = max(1, -(-(r.bytes or 0) // (target_bytes or 1 << 30)))
-    top = (1 << VALUE_BITS) - 1
-    scaled = [F.floor((F.col(f"d{d}") - F.lit(r[f"min{d}"])) / F.lit((r[f"max{d}"] - r[f"min{d}"]) or 1.0) * F.lit(top)).cast("long").alias(f"k{d}") for d in range(3)] if r.n else [F.lit(0).cast("long").alias(f"k{d}") for d in range(3)]
-    keyed = meta.select("doc_id", "size", "text_crc32", "row", *scaled, F.xxhash64("doc_id", "text_crc32", "row").bitwiseAND(F.lit(top)).alias("tie"))
+        n_shards = max(1, -(-(meta.agg(F.sum("size")).first()[0] or 0) // (target_bytes or 1 << 30)))
+    keyed = keyed_metadata(meta)
     tree: list[list[Node]] = []
     nodes = [Node(0, n_shards)]
     while any(x.n > 1 for x in nodes):
