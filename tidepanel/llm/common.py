@@ -28,7 +28,8 @@ CHUNK_BYTES = 4 << 20
 
 
 def _return_memory() -> None:
-    """Let large arrays go back to the system when they are freed: by default glibc keeps blocks of up to 32 MB for itself."""
+    """Let large arrays go back to the system when they are freed: by default glibc keeps blocks of up to 32 MB for itself, and Arrow's pool all it ever had."""
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
     except (OSError, AttributeError):  # another C library
