@@ -601,11 +601,11 @@ def test_scores_equal_sampling_by_hand(spark):
     p = _seated_by_hand(texts, d, d0, 1.0, 1.0, 2500, rng)
     asked = [[], ["a"], ["d", "d"], ["z"], ["b", "z", "a"], ["c", "a", "b"]]
     rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + asked)], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in hpylm.score(rows, F.col("doc_id") >= len(texts), draws=24).collect()}
+    got = {r.doc_id: r.score for r in hpylm.score(rows, F.col("doc_id") >= len(texts), draws=16).collect()}
     known = lambda w: w if w in {*contexts, "<s>"} else "?"
     for i, t in enumerate(asked):
         expected = sum(math.log10(p[known(u), known(w)]) for u, w in zip(["<s>", *t], [*t, "</s>"]))
-        assert got[len(texts) + i] == pytest.approx(expected, abs=0.04)
+        assert got[len(texts) + i] == pytest.approx(expected, abs=0.05)
 
 
 @pytest.mark.parametrize("rate", [0.01, 0.7, 30.0, 3000.0])

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -117,8 +118,11 @@ def train(docs: DataFrame, size: int = 400) -> Profiles:
     C.bound_batches(docs.sparkSession)
     known = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = C.materialise(known.mapInArrow(count, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    langs = sorted(r.lang for r in counts.groupBy("lang").agg(F.lit(1)).collect())
-    tops = [[r.gram for r in counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(size).collect()] for lang in langs]
+    # each task keeps its own `size` first, so a language's window has few rows however many n-grams it has
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    found = counts.withColumn("place", place).where(F.col("place") <= size).select("lang", "place", "gram").collect()
+    langs = sorted({r.lang for r in found})
+    tops = [[r.gram for r in sorted((r for r in found if r.lang == lang), key=lambda r: r.place)] for lang in langs]
     codes = np.unique(np.array([g for t in tops for g in t], dtype=np.int64))
     ranks = np.full((len(codes), len(langs)), size, dtype=np.int64)
     for j, t in enumerate(tops):
