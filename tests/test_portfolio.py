@@ -187,6 +187,7 @@ def test_risk_by_factor(spark):
 def test_books(spark):
     assert len(books.registry()) == 31 and len(books.applicable("fund")) == 12 and len(books.FACTOR_CATALOG) == 22
     assert books.rebalance_due(None, "2024-01-05", "monthly") and not books.rebalance_due("2024-01-01", "2024-01-05", "weekly") and books.rebalance_due("2024-01-31", "2024-02-01", "monthly")
+    assert books.rebalance_due("2024-01-31", "2024-03-01", "semiannual") and not books.rebalance_due("2024-03-01", "2024-03-29", "semiannual") and not books.rebalance_due("2024-03-01", "2024-04-01", "semiannual")
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, books.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]

@@ -130,13 +130,13 @@ def reordered(names: DataFrame, order: list[str]) -> DataFrame:
 
 
 def rebalance_due(last: str | None, today: str, freq: str) -> bool:
-    """Is a paper account due?  Never traded: yes; daily: another day; weekly: another ISO week; monthly: another month."""
+    """Is a paper account due?  Never traded: yes; daily: another day; weekly: another ISO week; monthly: another month; semiannual: another month that is March or September."""
     from datetime import date
 
     if last is None:
         return True
     a, b = date.fromisoformat(last), date.fromisoformat(today)
-    return {"daily": a != b, "weekly": a.isocalendar()[:2] != b.isocalendar()[:2], "monthly": (a.year, a.month) != (b.year, b.month)}[freq]
+    return {"daily": a != b, "weekly": a.isocalendar()[:2] != b.isocalendar()[:2], "monthly": (a.year, a.month) != (b.year, b.month), "semiannual": (a.year, a.month) != (b.year, b.month) and b.month in (3, 9)}[freq]
 
 
 def order_trades(orders: DataFrame, trades: DataFrame) -> DataFrame:

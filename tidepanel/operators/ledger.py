@@ -50,12 +50,15 @@ def ledger_positions(trades: DataFrame) -> DataFrame:
 def fifo_matches(trades: DataFrame) -> DataFrame:
     """code, buy_date, sell_date, shares: which bought shares each sale takes, oldest first.
 
-    Bought and sold shares of a code are intervals of running sums; their overlaps are the matches.  The
-    join is on the code; sales beyond what was bought match nothing.
+    Bought and sold shares of a code are intervals of running sums.  Between two neighbouring ends, of either
+    kind, lie shares of one purchase and one sale: those whose ends come next.  So one window by code
+    matches all, without a join; sales beyond what was bought match nothing.
     """
-    w = Window.partitionBy("code", "action").orderBy("date", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    run = trades.withColumn("hi", F.sum("shares").over(w)).withColumn("lo", F.col("hi") - F.col("shares"))
-    b = run.where("action = 'buy'").select("code", F.col("date").alias("buy_date"), F.col("lo").alias("b0"), F.col("hi").alias("b1"))
-    s = run.where("action = 'sell'").select("code", F.col("date").alias("sell_date"), F.col("lo").alias("s0"), F.col("hi").alias("s1"))
-    n = F.least("b1", "s1") - F.greatest("b0", "s0")
-    return b.join(s, "code").where((F.col("b0") < F.col("s1")) & (F.col("s0") < F.col("b1"))).select("code", "buy_date", "sell_date", n.alias("shares"))
+    run = Window.partitionBy("code", "action").orderBy("date", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    ends = trades.where("shares > 0").select("code", "action", "date", F.sum("shares").over(run).alias("end"))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("code").orderBy("end", "action")), F.lit(0))
+    # backwards, as a frame to the end of a partition would be computed anew for each row
+    back = Window.partitionBy("code").orderBy(F.desc("end"), F.desc("action")).rowsBetween(Window.unboundedPreceding, 0)
+    following = lambda action: F.last(F.when(F.col("action") == action, F.col("date")), ignorenulls=True).over(back)
+    rows = ends.select("code", following("buy").alias("buy_date"), following("sell").alias("sell_date"), (F.col("end") - before).alias("shares"))
+    return rows.where("shares > 0 and buy_date is not null and sell_date is not null")
