@@ -517,8 +517,8 @@ def test_scores(spark, docs, empty):
     for side in (True, False):
         rows = [r for r in got if r.held_out is side]
         assert sum(r.score for r in rows) > sum(r.base_score for r in rows)  # a lower perplexity
-    assert hpylm.score(empty, held).isEmpty()
-    assert all(math.isfinite(r.score) for r in hpylm.score(docs, F.lit(True)).collect())
+    assert hpylm.score(empty, held, 0, 1).isEmpty()
+    assert all(r.score == 0.0 for r in hpylm.score(docs, F.lit(True), 0, 1).collect())  # one unseen outcome
 
 
 def test_predictive_probabilities_sum_to_one(spark):
@@ -541,7 +541,7 @@ def test_scores_do_not_depend_on_the_cluster(spark, docs, monkeypatch):
     found = []
     for n, parts in (("4", 3), ("16", 7)):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        found.append(sorted((r.doc_id is None, r.doc_id, round(r.score, 9)) for r in hpylm.score(docs.repartition(parts), held).collect()))
+        found.append(sorted((r.doc_id is None, r.doc_id, round(r.score, 9)) for r in hpylm.score(docs.repartition(parts), held, 1, 1).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
 
@@ -601,11 +601,11 @@ def test_scores_equal_sampling_by_hand(spark):
     p = _seated_by_hand(texts, d, d0, 1.0, 1.0, 2500, rng)
     asked = [[], ["a"], ["d", "d"], ["z"], ["b", "z", "a"], ["c", "a", "b"]]
     rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + asked)], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in hpylm.score(rows, F.col("doc_id") >= len(texts), draws=16).collect()}
+    got = {r.doc_id: r.score for r in hpylm.score(rows, F.col("doc_id") >= len(texts), draws=12).collect()}
     known = lambda w: w if w in {*contexts, "<s>"} else "?"
     for i, t in enumerate(asked):
         expected = sum(math.log10(p[known(u), known(w)]) for u, w in zip(["<s>", *t], [*t, "</s>"]))
-        assert got[len(texts) + i] == pytest.approx(expected, abs=0.05)
+        assert got[len(texts) + i] == pytest.approx(expected, abs=0.06)
 
 
 @pytest.mark.parametrize("rate", [0.01, 0.7, 30.0, 3000.0])
