@@ -7,11 +7,13 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.operators.execution import Book, Quote
 from tidepanel.operators.portfolio import weights_from_returns
-from tidepanel.plans import backtest, sweeps
+from tidepanel.plans import backtest, reach, sweeps
 from tidepanel.plans import more_queries as M
 from tidepanel.plans import queries as Q
 
@@ -197,6 +199,58 @@ def test_risk_parity_and_long_short_on_mondays():
     assert [ctx.can_buy(c) for c in "abcd"] == [False, True, False, True] and [ctx.can_sell(c) for c in "abcd"] == [True, False, False, True]
 
 
+@pytest.fixture(scope="module")
+def ragged(spark):
+    """90 codes by 80 weeks with gaps, bars without turnover, equal prices and equal amounts."""
+    rng = np.random.default_rng(8)
+    close = np.round(np.exp(np.cumsum(rng.normal(0, 0.05, (80, 90)), axis=0)) * 10, 1)
+    close[:, 60:] = close[:, :30]
+    close[:, 30:33] = 10.1
+    close[40:] *= np.where(np.arange(90) % 30 == 4, 1.5, 1.0)
+    open_ = np.where(rng.random((80, 90)) < 0.9, close, np.nan)
+    close = np.where(rng.random((80, 90)) < 0.9, close, np.nan)
+    t, c = np.divmod(np.arange(80 * 90), 90)
+    rows = pd.DataFrame({"t_idx": t, "date": [d.date() for d in pd.Timestamp("1995-01-02") + pd.to_timedelta(t * 7, "D")], "code": [f"{i * 17 % 1000:03d}" for i in c], "open": open_.ravel(), "close": close.ravel(), "am20": np.where(c % 4 > 0, c // 8 * 100.0, np.nan), "turnover": (rng.random(80 * 90) < 0.9) * 1.0, "limit_up": c % 11 == t % 5, "limit_down": False})
+    return spark.createDataFrame(rows).cache(), rows
+
+
+RUNS = {
+    "cross": {"strategy": "golden_cross", "short": 2, "long": 5, "top_n": 2}, "wide": {"strategy": "golden_cross", "short": 5, "long": 3, "top_n": 3}, "fold": {"strategy": "golden_cross", "short": 2, "long": 5, "start": "1995-09-04", "end": "1996-02-05", "warmup": 70},
+    "pairs": {"strategy": "long_short_momentum", "window": 4, "long_n": 2, "short_n": 3}, "parity": {"strategy": "risk_parity", "window": 6, "top_n": 4}, "late": {"strategy": "long_short_momentum", "window": 4, "start": "1996-01-01"},
+}
+
+
+def test_reach_changes_no_run(spark, ragged):
+    """Runs over the codes in reach are those over all codes, trade by trade; a strategy that says nothing keeps all."""
+    quotes, rows = ragged
+    scenarios = sweeps.scenario_table(spark, RUNS)
+    kept = backtest.reached(quotes, scenarios).cache()
+    codes = {r.scenario_id: r.n for r in kept.where("code <> ''").groupBy("scenario_id").agg(F.count_distinct("code").alias("n")).collect()}
+    assert set(codes) == set(RUNS) and codes["parity"] < 40 and codes["fold"] < 60  # of 90
+    columns = ["scenario_id", "date", "nav", "cash", "fills", "rejections"]
+    got = {tuple(r[:2]): tuple(r[2:]) for r in backtest.run_scenarios(kept, scenarios, backtest.event_backtest).select(*columns).collect()}
+    want = {tuple(r[:2]): tuple(r[2:]) for r in backtest.run_scenarios(quotes, scenarios, backtest.event_backtest).select(*columns).collect()}
+    assert got == want and all(any(v[2] for k, v in want.items() if k[0] == name) for name in RUNS)
+    every = backtest.reached(quotes, scenarios.limit(1), backtest.EventStrategy).where("code <> ''")
+    assert every.count() == len(rows)
+    none = backtest.reached(quotes.where("date < '1995-01-20'"), scenarios)
+    assert none.select("date").distinct().count() == 3 and none.where("code <> '' and scenario_id = 'cross'").isEmpty()  # days stay without any code
+
+
+def test_reach_in_blocks(ragged, monkeypatch):
+    """Small blocks of whole codes find all that one block finds; sums are those of sum()."""
+    rows = ragged[1].sort_values(["code", "date"])[["code", "date", "t_idx", "open", "close", "am20", "turnover"]]
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    run = reach._finder([(k, backtest.STRATEGIES[v["strategy"]], v) for k, v in RUNS.items()], pa.schema([("scenario_id", pa.string()), ("kind", pa.int32()), ("t_idx", pa.int64()), ("score", pa.float64()), ("code", pa.string()), ("larger", pa.bool_()), ("places", pa.int32())]))
+    found = lambda size: {tuple(r.values()) for b in run(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()}
+    whole = found(1 << 20)
+    monkeypatch.setattr(reach, "BLOCK", 100)
+    assert whole and whole <= found(7)
+    x = rows.close.dropna().to_numpy() / 3
+    bars = reach.Bars(np.arange(len(x)), x, x, x > 0, x)
+    assert all(bars.sums(n)[i] == sum(x[i - n + 1 : i + 1].tolist()) for n in (1, 3, 8) for i in range(n - 1, 300))
+
+
 def test_price_limits_act(spark, wide):
     """Moves of the close by the board's limit (10 % here, less the slack) are flagged in the quotes."""
     rows = Q.quotes(spark, wide).toPandas().sort_values(["code", "date"])

@@ -2,8 +2,8 @@
 
 A scenario is a row of parameters.  Scenarios run side by side, one task each; within one, days follow
 each other, as cash depends on what came before.  A scenario's group is one panel's rows between its
-dates: one task holds the codes that are ever a target where targets are given, and every code where an
-event strategy chooses for itself.
+dates: one task holds the codes that are ever a target where targets are given, those in reach of an event
+strategy that ranks codes (see reach), and every code where a strategy says nothing of its choice.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql.window import Window
 
 from ..functions.windows import ts
 from ..operators.execution import Book, FundBook, Profile, Quote, profile
+from . import reach
+from .reach import Bars, Choice
 
 
 # ---------------------------------------------------------------- weights, set-based
@@ -271,7 +274,13 @@ class Context:
 
 
 class EventStrategy:
-    """Subclass and set orders in on_bar; the last order for a code wins."""
+    """Subclass and set orders in on_bar; the last order for a code wins.
+
+    `choices`, a static function of params and Bars, says what on_bar can choose on each signal day, so that
+    a run holds no other codes (reached); without it the run holds all.
+    """
+
+    choices: Callable[[dict, Bars], list[Choice]] | None = None
 
     def init(self, params: dict) -> None:
         self.params = params
@@ -302,9 +311,21 @@ class GoldenCross(EventStrategy):
             ctx.target_percent(code, min(self.params.get("max_weight", 0.5), 1.0 / k))
 
 
+    @staticmethod
+    def choices(params: dict, bars: Bars) -> list[Choice]:
+        """The top_n widest crosses: held codes among them leave no more places than there are others."""
+        a, b, k = params.get("short", 5), params.get("long", 20), params.get("top_n", 3)
+        now, was = (bars.sums(min(a, n)) / a - bars.sums(b) / b for n in (b + 2, b + 1))
+        return [Choice(bars.tradable & (bars.nth > b) & (bars.before(was, 1) <= 0) & (now > 0), now, k, True)]
+
+
 class RiskParity(EventStrategy):
     """On every `weekday` (0, Monday), weights of equal risk over the last `window` returns for the top_n tradable codes of largest am20."""
 
+    @staticmethod
+    def choices(params: dict, bars: Bars) -> list[Choice]:
+        return [Choice(bars.tradable & (bars.weekday == params.get("weekday", 0)), np.nan_to_num(bars.am20), params.get("top_n", 5), False)]
+
     def on_bar(self, ctx: Context, t: int) -> None:
         if ctx.day.weekday() != self.params.get("weekday", 0):
             return
@@ -317,6 +338,13 @@ class RiskParity(EventStrategy):
 class LongShortMomentum(EventStrategy):
     """On every `weekday` (0, Monday), leave everything, then long the long_n best and short the short_n worst by the change over `window` closes, each side to its part of the value."""
 
+    @staticmethod
+    def choices(params: dict, bars: Bars) -> list[Choice]:
+        n = params.get("window", 20)
+        move = bars.close / bars.before(bars.close, n) - 1
+        ok = bars.tradable & (bars.weekday == params.get("weekday", 0)) & (bars.nth >= n)
+        return [Choice(ok, move, params.get("long_n", 3), True), Choice(ok, -move, params.get("short_n", 3), False)]
+
     def on_bar(self, ctx: Context, t: int) -> None:
         p = self.params
         n, longs, shorts = p.get("window", 20), p.get("long_n", 3), p.get("short_n", 3)
@@ -371,6 +399,11 @@ def event_backtest(pdf: pd.DataFrame, strategy: type[EventStrategy] | None = Non
     return _output(out)
 
 
+def reached(quotes: DataFrame, scenarios: DataFrame, strategy: type[EventStrategy] | None = None) -> DataFrame:
+    """The quotes that the event strategies of the scenarios can make use of, with scenario_id: their runs are those over all quotes."""
+    return reach.reached(quotes, scenarios, lambda params: strategy or STRATEGIES[params["strategy"]])
+
+
 def fund_backtest(pdf: pd.DataFrame) -> pd.DataFrame:
     """One scenario of funds: subscriptions and first-in first-out redemptions at the day's value."""
     params = json.loads(pdf["params"].iloc[0])

@@ -786,6 +786,11 @@ def quotes(spark: SparkSession, sf_dir: str, held: bool = False) -> DataFrame:
     return rows.select("t_idx", "date", "code", "open", "close", "am20", "turnover", "limit_up", "limit_down", "stop", "target", "cut")
 
 
+def event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What event strategies see of every code: no targets, stops and cuts."""
+    return factors.limit_flags(dense_week(spark, sf_dir)).select("t_idx", "date", "code", "open", "close", "am20", "turnover", "limit_up", "limit_down")
+
+
 def _nav_rows(df: DataFrame) -> DataFrame:
     return rounded(df.select("scenario_id", "date", "nav", "cash", "n_fills", "n_rejected"), "nav", "cash", digits=6)
 
@@ -803,7 +808,8 @@ def fund_backtest(spark, sf_dir):
 @register("event_backtest")
 def event_backtest(spark, sf_dir):
     scenarios = {"cross": {"strategy": "golden_cross", "short": 3, "long": 8, "capital": 1e7}, "momentum": {"strategy": "long_short_momentum", "window": 8, "capital": 1e7, "short_rate": 0.086}, "parity": {"strategy": "risk_parity", "window": 10, "capital": 1e7}}
-    return _nav_rows(backtest.run_scenarios(quotes(spark, sf_dir), sweeps.scenario_table(spark, scenarios), backtest.event_backtest))
+    runs = sweeps.scenario_table(spark, scenarios)
+    return _nav_rows(backtest.run_scenarios(backtest.reached(event_quotes(spark, sf_dir), runs), runs, backtest.event_backtest))
 
 
 @register("walk_forward")
