@@ -275,6 +275,19 @@ def test_heatmap_of_a_grid(spark, wide):
     assert got == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} and any(want.values())
 
 
+SWEPT = [Q.cross_heatmap]
+
+
+@pytest.mark.parametrize("query", SWEPT)
+def test_sweeps_hold_the_codes_in_reach(spark, wide, monkeypatch, query):
+    """No fold's run gets all codes, and each gets all days."""
+    seen, run = [], backtest.run_scenarios
+    monkeypatch.setattr(sweeps, "run_scenarios", lambda quotes, *more: seen.append(quotes) or run(quotes, *more))
+    assert query(spark, wide).count() > 0
+    rows = seen[0].groupBy("scenario_id").agg(F.count_distinct("code").alias("codes"), F.count_distinct("date").alias("days")).collect()
+    assert len(seen) == 1 and len(rows) == 16 and all(r.codes < 80 and r.days == WEEKS for r in rows)  # of 120
+
+
 def test_trades_account_for_the_cash(spark, wide):
     """Fills explain every change of cash, holdings and cash the value, and refused orders have a reason."""
     runs, quotes = M._runs(spark, wide)

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.windows import ts
 from ..operators.execution import Book, FundBook, Profile, Quote, profile
+from ..operators.factors import limit_flags
 from . import reach
 from .reach import Bars, Choice
 
@@ -400,8 +401,12 @@ def event_backtest(pdf: pd.DataFrame, strategy: type[EventStrategy] | None = Non
 
 
 def reached(quotes: DataFrame, scenarios: DataFrame, strategy: type[EventStrategy] | None = None) -> DataFrame:
-    """The quotes that the event strategies of the scenarios can make use of, with scenario_id: their runs are those over all quotes."""
-    return reach.reached(quotes, scenarios, lambda params: strategy or STRATEGIES[params["strategy"]])
+    """The quotes that the event strategies of the scenarios can make use of, with scenario_id: their runs are those over all quotes.
+
+    Quotes without price limits get them from their closes.
+    """
+    along = (lambda rows: rows) if "limit_up" in quotes.columns else (lambda rows: limit_flags(rows).drop("one_price_up", "one_price_down"))
+    return reach.reached(quotes, scenarios, lambda params: strategy or STRATEGIES[params["strategy"]], along)
 
 
 def fund_backtest(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -787,8 +787,8 @@ def quotes(spark: SparkSession, sf_dir: str, held: bool = False) -> DataFrame:
 
 
 def event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What event strategies see of every code: no targets, stops and cuts."""
-    return factors.limit_flags(dense_week(spark, sf_dir)).select("t_idx", "date", "code", "open", "close", "am20", "turnover", "limit_up", "limit_down")
+    """What event strategies see of every code: no targets, stops and cuts; backtest.reached adds the price limits."""
+    return dense_week(spark, sf_dir).select("t_idx", "date", "code", "open", "close", "am20", "turnover")
 
 
 def _nav_rows(df: DataFrame) -> DataFrame:
@@ -823,7 +823,7 @@ def walk_forward(spark, sf_dir):
 @register("cross_heatmap")
 def cross_heatmap(spark, sf_dir):
     """Mean totals of a golden-cross grid over its folds: a row for each short average, a column for each long one."""
-    rows = quotes(spark, sf_dir)
+    rows = event_quotes(spark, sf_dir)
     days = [r.date for r in panels.calendar(rows.select("date")).orderBy("date").collect()]
     found = sweeps.sweep(rows, sweeps.cross_grid([3, 5], [8, 13], capital=1e7), sweeps.split_windows(days, 4))
     sides = F.split("scenario_id", "x")

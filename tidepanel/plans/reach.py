@@ -129,10 +129,11 @@ def reach(quotes: DataFrame, runs: list[tuple[str, type, dict]]) -> DataFrame:
     return found.withColumn("n", n).where("n <= places").select("scenario_id", "code").distinct()
 
 
-def reached(quotes: DataFrame, scenarios: DataFrame, strategy_of: Callable[[dict], type]) -> DataFrame:
+def reached(quotes: DataFrame, scenarios: DataFrame, strategy_of: Callable[[dict], type], along: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """The quotes of each scenario's reach with its scenario_id, and a row without code or prices for each date, so that no day is lost.
 
-    A reach has no more codes than dates times places, so it may be broadcast.
+    along adds columns by windows over a code's own rows, to the codes in reach alone.  A reach has no more
+    codes than dates times places, so it may be broadcast.
     """
     runs = [(r.scenario_id, strategy_of(p := json.loads(r.params)), p) for r in scenarios.collect()]
     ranked = [r for r in runs if r[1].choices is not None]
@@ -140,8 +141,8 @@ def reached(quotes: DataFrame, scenarios: DataFrame, strategy_of: Callable[[dict
     out = quotes.select("t_idx", "date").distinct().crossJoin(F.broadcast(scenarios.select("scenario_id"))).withColumn("code", F.lit(""))
     if ranked:
         codes = reach(quotes, ranked).persist()
-        some = quotes.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi")  # passes the windows by code
+        some = along(quotes.join(F.broadcast(codes.select("code").distinct()), "code", "left_semi"))
         out = out.unionByName(some.join(F.broadcast(codes), "code"), allowMissingColumns=True)
     if every:
-        out = out.unionByName(quotes.crossJoin(F.broadcast(scenarios.select("scenario_id").where(F.col("scenario_id").isin(every)))), allowMissingColumns=True)
+        out = out.unionByName(along(quotes).crossJoin(F.broadcast(scenarios.select("scenario_id").where(F.col("scenario_id").isin(every)))), allowMissingColumns=True)
     return out

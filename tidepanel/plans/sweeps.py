@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import nav_metrics
-from .backtest import event_backtest, run_scenarios
+from .backtest import event_backtest, reached, run_scenarios
 
 
 def split_windows(dates: list[date], folds: int) -> list[tuple[date, date]]:
@@ -34,7 +34,8 @@ def sweep(quotes: DataFrame, scenarios: dict[str, dict], folds: list[tuple[date,
     A fold is a run of its own: whole capital at its first day, prices before it as warm-up only.
     """
     runs = scenarios if not folds else {f"{k}@{i}": {**v, "start": str(lo), "end": str(hi)} for k, v in scenarios.items() for i, (lo, hi) in enumerate(folds)}
-    nav = run_scenarios(quotes, scenario_table(quotes.sparkSession, runs), simulate)
+    table = scenario_table(quotes.sparkSession, runs)
+    nav = run_scenarios(reached(quotes, table) if simulate is event_backtest else quotes, table, simulate)
     if folds:
         nav = nav.withColumns({"fold": F.substring_index("scenario_id", "@", -1).cast("int"), "scenario_id": F.regexp_replace("scenario_id", "@[0-9]+$", "")})
     else:
