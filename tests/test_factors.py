@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.functions import scalars as S
 from tidepanel.functions.windows import avg_rank, pct_rank, quantile_bucket
 from tidepanel.operators import factors as X
+from tidepanel.operators import research
 from tidepanel.sources import panels as P
 
 
@@ -98,3 +101,15 @@ def test_limit_flags(spark):
     assert {r.code for r in got if r.limit_up} == {"600001", "301002", "688003", "430002", "920003", "302001"} and {r.code for r in got if r.limit_down} == {"000004"}
     odd = {c for i, c in enumerate(moves) if i % 2}
     assert {r.code for r in got if r.one_price_up} == {r.code for r in got if r.limit_up} & odd and {r.code for r in got if r.one_price_down} == {"000004"} & odd
+
+
+def test_labels_rank_what_they_show(spark):
+    """Returns that round to the same label tie, and ties go to the smaller code; halves are rounded as DuckDB does."""
+    close = {"a": 1.1 + 3e-12, "b": 1.1, "c": 1.05}  # from 1.0
+    rows = spark.createDataFrame([(d, c, 1.0 if d == 0 else x) for c, x in close.items() for d in (0, 1)], "date int, code string, close double")
+    found = lambda digits: [(r.code, r.rank_1) for r in research.with_labels(rows, (1,), digits).where("ret_1 is not null").orderBy("rank_1").collect()]
+    assert found(10) == [("c", 1), ("a", 2), ("b", 3)] and found(None) == [("c", 1), ("b", 2), ("a", 3)]
+    x = [0.5, -0.5, 1.5, 2.675, -1e-12, 0.1234567890499999, 1.00000000005, 3e11, -7.25, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(S.round_half_away(F.col("x"), 10)).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 10) + 0.0", [v]).fetchone()[0] for v in x]
+    assert got == want

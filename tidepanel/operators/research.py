@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_half_away
 from ..functions.windows import avg_rank, change, cs, forward_return, frame, pct_rank, ratio, rolling, ts
 from .evaluate import group_returns, ic_summary, rank_ic
 
@@ -104,9 +105,10 @@ def with_vwap(panel: DataFrame, lot: float = 1.0) -> DataFrame:
     return panel.withColumn("vwap", ratio(F.col("amount"), F.col("volume") * lot))
 
 
-def with_labels(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
-    """ret_h: forward returns; rank_h: their place on the date."""
-    rows = panel.withColumns({f"ret_{h}": forward_return("close", h) for h in horizons})
+def with_labels(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), digits: int | None = None) -> DataFrame:
+    """ret_h: forward returns, rounded to `digits` if given; rank_h: their place on the date, ties to the smaller code."""
+    made = lambda h: forward_return("close", h) if digits is None else round_half_away(forward_return("close", h), digits)
+    rows = panel.withColumns({f"ret_{h}": made(h) for h in horizons})
     return rows.withColumns({f"rank_{h}": F.when(F.col(f"ret_{h}").isNotNull(), F.row_number().over(cs().orderBy(F.col(f"ret_{h}").asc_nulls_last(), "code"))) for h in horizons})
 
 
